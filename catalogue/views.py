@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# The columns read here, declared so that opening a table takes no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "documents": "doc_id bigint, text string, lang string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _rows_per_city(spark: SparkSession, sf_dir: str):
+def _rows_per_city(spark: SparkSession, sf_dir: str) -> Column:
     """Height of the tiling: one number from the part table, as a scalar subquery."""
-    return table(spark, sf_dir, "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(100)).cast("long")).scalar()
+    return table(spark, sf_dir, "part").agg(F.expr("cast(ceil(count(*) / 100) as bigint)")).scalar()
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 10_000) -> DataFrame:
@@ -36,43 +48,32 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str, block
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded unit boxes tiling each city; grades clustered in 4x4 blocks with noise and gaps."""
-    key = F.col("p_partkey")
-    tile = F.floor(key / F.lit(5))
-    placed = table(spark, sf_dir, "part").join(
-        table(spark, sf_dir, "region"), F.col("r_regionkey") == key % 5
-    ).select(
-        F.col("r_name").alias("city"), key.cast("long").alias("area_id"), "p_size", "r_regionkey",
-        (tile % 20).cast("double").alias("x0"), F.floor(tile / F.lit(20)).cast("double").alias("y0"),
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as area_id", "p_size", "p_partkey % 5 as region_no",
+        "cast(p_partkey div 5 % 20 as double) as x0", "cast(p_partkey div 5 div 20 as double) as y0",
     )
-    block = F.floor(F.col("x0") / 4) * 7 + F.floor(F.col("y0") / 4) * 3 + F.col("r_regionkey")
-    letter = F.when(F.col("p_size") > 40, F.col("p_size") % 4).otherwise(block % 4)
-    grade = F.when(F.col("p_size") <= 48, F.element_at(F.array(*map(F.lit, "ABCD")), (letter + 1).cast("int")))
-    return placed.select(
-        "city", "area_id", grade.alias("grade"), "x0", "y0",
-        (F.col("x0") + 1).alias("x1"), (F.col("y0") + 1).alias("y1"),
+    letter = "if(p_size > 40, p_size, floor(x0 / 4) * 7 + floor(y0 / 4) * 3 + region_no) % 4"
+    return parts.join(table(spark, sf_dir, "region"), F.expr("r_regionkey = region_no")).selectExpr(
+        "r_name as city", "area_id", f"if(p_size > 48, null, element_at(array('A', 'B', 'C', 'D'), cast({letter} + 1 as int))) as grade",
+        "x0", "y0", "x0 + 1 as x1", "y0 + 1 as y1",
     )
 
 
 def _with_city(df: DataFrame, spark: SparkSession, sf_dir: str, nation_key: str) -> DataFrame:
-    places = table(spark, sf_dir, "nation").join(
-        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    ).select("n_nationkey", F.col("r_name").alias("city"))
-    return df.join(places, F.col(nation_key) == F.col("n_nationkey")).drop("n_nationkey")
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+    return df.join(places.selectExpr(f"n_nationkey as {nation_key}", "r_name as city"), nation_key)
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes with half-unit corners; ids restart in every city."""
-    key = F.col("s_suppkey")
-    high = _rows_per_city(spark, sf_dir)
-    suppliers = _with_city(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), spark, sf_dir, "s_nationkey")
-    placed = suppliers.select(
-        "city", "s_suppkey", (((key * 7) % 37).cast("double") / 2).alias("x0"),
-        (((key * 13) % (high * 2)).cast("double") / 2).alias("y0"),
+    suppliers = _with_city(table(spark, sf_dir, "supplier"), spark, sf_dir, "s_nationkey")
+    placed = suppliers.select("city", "s_suppkey", _rows_per_city(spark, sf_dir).alias("high")).selectExpr(
+        "city", "s_suppkey", "cast(s_suppkey * 7 % 37 as double) / 2 as x0",
+        "cast(s_suppkey * 13 % (high * 2) as double) / 2 as y0",
     )
-    return number_rows(placed, ["city"], "s_suppkey", "zone_id").select(
-        "city", F.col("zone_id").cast("long").alias("zone_id"), "x0", "y0",
-        (F.col("x0") + (key % 4 * 2 + 3).cast("double") / 2).alias("x1"),
-        (F.col("y0") + (key % 3 * 2 + 3).cast("double") / 2).alias("y1"),
+    return number_rows(placed, ["city"], "s_suppkey", "zone_id").selectExpr(
+        "city", "cast(zone_id as bigint) as zone_id", "x0", "y0",
+        "x0 + cast(s_suppkey % 4 * 2 + 3 as double) / 2 as x1", "y0 + cast(s_suppkey % 3 * 2 + 3 as double) / 2 as y1",
     )
 
 
@@ -82,65 +83,43 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with text-typed counts, a bad marker in one of them, and leading zeros in the id."""
-    key = F.col("c_custkey")
-    high = _rows_per_city(spark, sf_dir)
-
-    def text_count(condition) -> F.Column:
-        return F.count(F.when(condition, 1))
-
-    per_customer = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        *[text_count(F.col("o_orderpriority") == p).alias(c) for c, p in zip(COUNT_COLUMNS, PRIORITIES)],
-        F.count("o_orderkey").alias("n_total"), text_count(F.col("o_orderstatus") == "F").alias("n_subsidised"),
+    per_customer = table(spark, sf_dir, "orders").groupBy(F.expr("o_custkey as c_custkey")).agg(
+        *[F.expr(f"count_if(o_orderpriority = '{p}') as {c}") for c, p in zip(COUNT_COLUMNS, PRIORITIES)],
+        F.expr("count(o_orderkey) as n_total"), F.expr("count_if(o_orderstatus = 'F') as n_subsidised"),
     )
-    customers = _with_city(
-        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), spark, sf_dir, "c_nationkey"
-    ).join(per_customer, "c_custkey", "left")
-
-    def as_text(name: str):
-        return F.coalesce(F.col(name), F.lit(0)).cast("string")
-
-    x = F.when(key % 10 == 0, ((key * 37) % 80).cast("double") / 4).otherwise(((key * 7919) % 2000).cast("double") / 100)
-    return customers.select(
-        "city", F.concat(F.lit("0"), key.cast("string")).alias("entity_id"), F.lower("c_mktsegment").alias("level"),
-        x.alias("x"), (((key * 104729) % (high * 100)).cast("double") / 100).alias("y"),
-        F.when(key % 23 == 0, F.lit("†")).otherwise(as_text("n_urgent")).alias("n_urgent"),
-        *[as_text(c).alias(c) for c in [*COUNT_COLUMNS[1:], "n_total", "n_subsidised"]],
+    customers = _with_city(table(spark, sf_dir, "customer"), spark, sf_dir, "c_nationkey").join(per_customer, "c_custkey", "left")
+    text = "cast(coalesce({0}, 0) as string)".format
+    return customers.select("*", _rows_per_city(spark, sf_dir).alias("high")).selectExpr(
+        "city", "concat('0', c_custkey) as entity_id", "lower(c_mktsegment) as level",
+        "if(c_custkey % 10 = 0, cast(c_custkey * 37 % 80 as double) / 4, cast(c_custkey * 7919 % 2000 as double) / 100) as x",
+        "cast(c_custkey * 104729 % (high * 100) as double) / 100 as y",
+        f"if(c_custkey % 23 = 0, '†', {text('n_urgent')}) as n_urgent",
+        *[f"{text(c)} as {c}" for c in [*COUNT_COLUMNS[1:], "n_total", "n_subsidised"]],
     )
 
 
 def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount per id; some ids are missing."""
-    means = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
-        F.avg("o_totalprice").alias("pp_total")
-    )
-    places = _with_city(
-        table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 11 != 0).select(F.col("c_custkey").alias("id"), "c_nationkey"),
-        spark, sf_dir, "c_nationkey",
-    )
-    return places.join(means, "id").select(F.col("city").alias("state"), "id", "pp_total")
+    means = table(spark, sf_dir, "orders").groupBy(F.expr("o_custkey as id")).agg(F.expr("avg(o_totalprice) as pp_total"))
+    customers = table(spark, sf_dir, "customer").filter("c_custkey % 11 <> 0").selectExpr("c_custkey as id", "c_nationkey")
+    return _with_city(customers, spark, sf_dir, "c_nationkey").join(means, "id").selectExpr("city as state", "id", "pp_total")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", F.when(F.col("doc_id") % 19 != 0, F.col("text")).alias("data")
-    )
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "if(doc_id % 19 = 0, null, text) as data")
 
 
 def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        key.alias("id"), (((key * 7919) % 5800).cast("double") / 100 - 125).alias("lon"),
-        (((key * 104729) % 2400).cast("double") / 100 + 25).alias("lat"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as id", "cast(c_custkey * 7919 % 5800 as double) / 100 - 125 as lon",
+        "cast(c_custkey * 104729 % 2400 as double) / 100 + 25 as lat",
     )
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordinal outcome with three 0/1 predictors."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("outcome"),
-        (F.col("o_totalprice") > 250_000).cast("int").alias("hi_value"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("is_final"),
-        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("is_building"),
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey as o_custkey", "c_mktsegment")
+    return table(spark, sf_dir, "orders").join(customers, "o_custkey").selectExpr(
+        "o_orderkey as id", "o_orderpriority as outcome", "cast(o_totalprice > 250000 as int) as hi_value",
+        "cast(o_orderstatus = 'F' as int) as is_final", "cast(c_mktsegment = 'BUILDING' as int) as is_building",
     )

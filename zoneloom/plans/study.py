@@ -44,6 +44,7 @@ class ZoneStudy:
     rate_part: str = "FreeandReducedLunchStudents"
     rate_total: str = "TotalStudentsAllGradesExcludesAE"
     grade_col: str = GRADE
+    _written: bool = field(default=False, init=False, repr=False)
 
     @cached_property
     def zone_outlines(self) -> DataFrame:
@@ -53,10 +54,14 @@ class ZoneStudy:
     def area_outlines(self) -> DataFrame:
         return outlines(self.area_edges, ON, AREA)
 
-    def with_written_outlines(self) -> ZoneStudy:
-        """Write the two outline tables to the shared folder, so every later query reads them instead of all edges."""
-        self.zone_outlines = cut_lineage(self.zone_outlines)
-        self.area_outlines = cut_lineage(self.area_outlines)
+    def write_stages(self) -> ZoneStudy:
+        """Write the classified zones and located entities to the shared folder, once per study.
+
+        Queries that read either of them more than once call this themselves; call it first to run many queries.
+        """
+        if not self._written:
+            self.classified, self.located = cut_lineage(self.classified), cut_lineage(self.located)
+            self._written = True
         return self
 
     # Zones and their grades
@@ -90,7 +95,7 @@ class ZoneStudy:
 
     def area_layer(self, city: str) -> DataFrame:
         """Grades and edges of a city's areas."""
-        return self._in_city(self.areas, city).join(self.area_edges, [*ON, AREA])
+        return self._in_city(self.areas.select(*ON, AREA, GRADE), city).join(self.area_edges, [*ON, AREA])
 
     # Entities in zones
 
@@ -107,6 +112,7 @@ class ZoneStudy:
         Zones without entities keep their rows with NULLs. They are added by an anti join rather than a left join,
         because a crowded zone is on the right of that join and only an inner join may split it.
         """
+        self.write_stages()
         rows = self.located
         if attributes:
             rows = rows.join(self.entities.select(*ON, ENTITY, *attributes), [*ON, ENTITY])
