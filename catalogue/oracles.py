@@ -111,7 +111,7 @@ def _composition(grade_col: str) -> str:
             f"select city, {grade_col} as g, '{{c}}' as name, '{{label}}' as category, {{percent}} as value from combined"
         ) + ")"],
         """select city, comparison, grade_group, category, round(avg(value), 6) as value,
-         dense_rank() over (partition by city, comparison, grade_group order by name) as paired
+         cast(dense_rank() over (partition by city, comparison, grade_group order by name) as int) as paired
          from long join groups on long.g = groups.grade group by city, comparison, grade_group, name, category""",
     )
 
@@ -142,9 +142,26 @@ placed as (select id, lon, lat, a, n, c, q0, radians(lon+96)*n as th,
 LAEA = """angles as (select id, lon, lat, radians(lat) as p, radians(lon+100) as l, radians(45.0) as o from fx_geo),
 scaled as (select *, 6370997.0::double * sqrt(2/(1+sin(o)*sin(p)+cos(o)*cos(p)*cos(l))) as k from angles)"""
 
+# One parameter at a time is moved by its own Newton step, in turn, until nothing moves any more; no gradient vector,
+# Hessian or matrix solve as in the operator. Parameters: three coefficients, then four cut points.
+ASCENT = """cells as (select cast(left(outcome, 1) as int) as y, hi_value as x1, is_final as x2, is_building as x3, count(*) as n
+  from fx_model group by all),
+shares as (select list(ln(p/(1-p)) order by y) as c from (select y, sum(sum(n)) over (order by y) / (select sum(n)::double from cells) as p
+  from cells group by y) t where y < 5),
+ascent(step, th) as (
+ select 0, list_concat([0.0::double, 0.0::double, 0.0::double], c) from shares
+ union all
+ select step + 1, list_concat(list_concat(th[1:j-1], [th[j] - g / h]), th[j+1:7]) from (
+  select step, th, j, sum(n * s) as g, sum(n * (k - s * s)) as h from (
+   select step, th, j, n, (du*uj - dl*lj) / (u - l) as s, (du*(1-2*u)*uj*uj - dl*(1-2*l)*lj*lj) / (u - l) as k from (
+    select *, u*(1-u) as du, l*(1-l) as dl, case when j <= 3 then -[x1, x2, x3][j] when y = j - 3 then 1 else 0 end as uj,
+     case when j <= 3 then -[x1, x2, x3][j] when y = j - 2 then 1 else 0 end as lj from (
+     select *, case when y = 5 then 1.0::double else 1/(1+exp(eta - th[y+3])) end as u, case when y = 1 then 0.0::double else 1/(1+exp(eta - th[y+2])) end as l
+     from (select a.step, a.th, a.step % 7 + 1 as j, cells.*, th[1]*x1 + th[2]*x2 + th[3]*x3 as eta from ascent a, cells where a.step < 1400) e) p) d) q
+  group by step, th, j) moved)"""
+
 ORACLES: dict[str, str] = {
-    "scan_entities": _sql([ENTITY], "select * from fx_entity").replace("select * from fx_entity",
-        "select city, entity_id, level, cast(x as double) as x, cast(y as double) as y, n_urgent, n_high, n_medium, n_unspecified, n_low, n_total, n_subsidised from fx_entity"),
+    "scan_entities": _sql([ENTITY], "select * from fx_entity"),
     "scan_spending": _sql([SPENDING], "select state, id, round(pp_total, 6) as pp_total from fx_spending"),
     "scan_layers": _sql([AREA], "select city, area_id, grade, x0 as xmin, y0 as ymin, x1 as xmax, y1 as ymax from fx_area"),
     "polygon_edges": _sql([ZONE], """select city, zone_id, cast(0 as bigint) as ring_no, n as edge_no,
@@ -163,7 +180,7 @@ ORACLES: dict[str, str] = {
     "relabel": _sql([ENTITY], _stacked(
         "select entity_id, '{label}' as label, case '{c}' when 'n_urgent' then 'urgent' when 'n_unspecified' then 'not specified'"
         " else substr('{c}', 3) end as rewritten, {c} as value from fx_entity")),
-    "format_amount": _sql([SPENDING], "select id, format('{:,}', cast(round(pp_total) as bigint)) as amount from fx_spending"),
+    "format_amount": _sql([SPENDING], "select id, format('{:,}', cast(round_even(pp_total, 0) as bigint)) as amount from fx_spending"),
     "filter_isin": _sql([ENTITY], "select city, entity_id, level from fx_entity where city in ('AMERICA', 'ASIA', 'EUROPE') and level = 'building'"),
     "dropna_subset": _sql([AREA], "select city, area_id, grade from fx_area where grade is not null"),
     "dropna_any": _sql([ENTITY, SPENDING], "select entity_id, " + ", ".join(f"{_number_or_null(c)} as {c}" for c in COUNTS)
@@ -220,14 +237,14 @@ ORACLES: dict[str, str] = {
       round(avg(s.pp_total), 6) as pp_total from combined c left join fx_spending s on s.state = c.city and s.id = cast(c.entity_id as bigint)
       where c.grade = 'A' group by c.city""").replace("else left(c.city, 2)", "when 'AMERICA' then 'AM' else left(c.city, 2)"),
     "composition_mean": _by_grade("select city, grade, category, round(value, 6) as value from by_grade"),
-    "pair_index": _by_grade("select city, grade, category, row_number() over (partition by city, grade order by category) as paired from by_grade"),
-    "rank_by_mean": _by_grade("""select city, category, round(mean, 6) as value, rank() over (partition by city order by mean) as rank
+    "pair_index": _by_grade("select city, grade, category, cast(row_number() over (partition by city, grade order by category) as int) as paired from by_grade"),
+    "rank_by_mean": _by_grade("""select city, category, round(mean, 6) as value, cast(rank() over (partition by city order by mean) as int) as rank
       from (select city, category, avg(value) as mean from by_grade group by city, category) m"""),
     "fixed_order": _by_grade("""select city, grade, category, round(value, 6) as value,
-      list_position(['n_low', 'n_urgent', 'n_high', 'n_medium', 'n_unspecified'], category) as position from by_grade"""),
+      cast(list_position(['n_low', 'n_urgent', 'n_high', 'n_medium', 'n_unspecified'], category) as bigint) as position from by_grade"""),
     "unpivot_counts": _sql([ENTITY], _stacked("select entity_id, n_total, '{c}' as category, {c} as value from fx_entity")),
     "nest_by_key": _sql([ENTITY], """select city, cast(floor(id / 1000) as bigint) as block, string_agg(id || ':' || level, ',' order by id) as members,
-      count(*) as n_members from (select city, cast(entity_id as bigint) as id, level from fx_entity) e group by city, floor(id / 1000)"""),
+      cast(count(*) as int) as n_members from (select city, cast(entity_id as bigint) as id, level from fx_entity) e group by city, floor(id / 1000)"""),
     "union_layers": _sql([AREA], "select * from fx_area where grade is not null"),
     "mean_all_columns": _sql([ENTITY], "select " + ", ".join(f"round(avg({_number_or_null(c)}), 6) as {c}" for c in [*COUNTS, "n_total", "n_subsidised"]) + " from fx_entity"),
     "distinct_keys": _sql([ENTITY], "select count(distinct city) as cities, count(distinct level) as levels, count(distinct entity_id) as entities from fx_entity"),
@@ -243,6 +260,9 @@ ORACLES: dict[str, str] = {
       running as (select outcome, lead(outcome) over (order by outcome) as following,
        sum(n) over (order by outcome) / (select sum(n)::double from per) as p from per)"""],
       "select outcome || '|' || following as term, round(ln(p/(1-p)), 6) as estimate from running where following is not null"),
+    "fit_ordinal_estimates": _sql(["recursive " + MODEL, ASCENT], """select term, round(v, 5) + 0.0::double as estimate
+      from (select unnest(['hi_value', 'is_final', 'is_building', '1-URGENT|2-HIGH', '2-HIGH|3-MEDIUM', '3-MEDIUM|4-NOT SPECIFIED',
+       '4-NOT SPECIFIED|5-LOW']) as term, unnest(th) as v from ascent where step = 1400) t"""),
     "study_model": _sql(COMBINED_PARTS, f"""select city, zone_id, entity_id, majority_grade, ascii(majority_grade) - 64 as majority_level,
       {_flag('n_urgent')} as urgent_maj, {_flag('n_low')} as low_maj, {_flag('n_subsidised')} as subsidised_maj
       from combined where grade is not null and entity_id is not null"""),

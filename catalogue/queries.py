@@ -71,7 +71,8 @@ def scan_entities(spark, sf_dir):
     path = scratch_path(spark, "entities") + ".csv"
     table = views.entities(spark, sf_dir)
     table.write.csv(path, header=True)
-    return read_text_table(spark, path, table.columns).withColumn("level", F.lower("level"))
+    text = read_text_table(spark, path, table.columns).withColumn("level", F.lower("level"))
+    return shape.coerce_numeric(text, ["x", "y"])
 
 
 @query
@@ -281,7 +282,9 @@ def overlay_area(spark, sf_dir):
 @query
 def points_in_zones(spark, sf_dir):
     study = _study(spark, sf_dir)
-    return points_in_polygons(views.entities(spark, sf_dir), study.zone_edges, ["city"], "entity_id", "zone_id")
+    return points_in_polygons(
+        views.entities(spark, sf_dir), study.zone_edges, ["city"], "entity_id", "zone_id", polygon_outlines=study.zone_outlines
+    )
 
 
 @query
@@ -514,6 +517,13 @@ def fit_ordinal(spark, sf_dir):
     return _rounded(table, estimate=6, std_error=6, t_value=4, p_value=6)
 
 
+@query
+def fit_ordinal_estimates(spark, sf_dir):
+    """The fit's estimates alone, which SQL can find as well."""
+    fit = ordinal.fit_ordinal(views.model_rows(spark, sf_dir), "outcome", FLAGS, views.PRIORITIES)
+    return _rounded(ordinal.coefficient_table(spark, fit).select("term", "estimate"), estimate=5)
+
+
 @query
 def simulate_interval(spark, sf_dir):
     rows = cut_lineage(views.model_rows(spark, sf_dir))

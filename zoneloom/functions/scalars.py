@@ -52,5 +52,5 @@ def logistic(x: Column) -> Column:
 
 
 def thousands(name: str) -> Column:
-    """Rounded to a whole number, with thousands separators."""
+    """Rounded to a whole number, halves to the even one, with thousands separators."""
     return F.format_number(F.col(name), 0)

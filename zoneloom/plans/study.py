@@ -46,13 +46,15 @@ class ZoneStudy:
     grade_col: str = GRADE
     _written: bool = field(default=False, init=False, repr=False)
 
+    # The outlines are read several times per query, so they are written on first use.
+
     @cached_property
     def zone_outlines(self) -> DataFrame:
-        return outlines(self.zone_edges, ON, ZONE)
+        return cut_lineage(outlines(self.zone_edges, ON, ZONE))
 
     @cached_property
     def area_outlines(self) -> DataFrame:
-        return outlines(self.area_edges, ON, AREA)
+        return cut_lineage(outlines(self.area_edges, ON, AREA))
 
     def write_stages(self) -> ZoneStudy:
         """Write the classified zones and located entities to the shared folder, once per study.
