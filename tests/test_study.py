@@ -3,7 +3,10 @@ import pytest
 from tests.shapes import box, edges
 from zoneloom.operators.classify import classify_majority
 from zoneloom.operators.compare import compare_groups, group_membership, sums_by_zone
+from zoneloom.plans.report import ordinal_report, publish_results
 from zoneloom.plans.study import ZoneStudy, sample_description, search_descriptions
+from zoneloom.session import scratch_path
+from zoneloom.sources.publish import read_published
 
 
 def test_majority_rules(spark):
@@ -119,3 +122,15 @@ def test_description_search(spark):
     first = sample_description(texts, "id", seed=3).collect()
     assert len(first) == 1 and first[0].id in (2, 4) and sample_description(texts, "id", seed=3).collect() == first
     assert {sample_description(texts, "id", seed=i).first().id for i in range(12)} == {2, 4}
+
+
+def test_report_and_published_tables(spark):
+    s = study(spark)
+    path = scratch_path(spark, "results")
+    names = publish_results(s, path)
+    assert set(names) == {"zone_summary", "map_layer", "entities_in_zones", "grade_share", "composition", "rate", "spending"}
+    for name in names:
+        assert read_published(spark, f"{path}/{name}", "city", "x").count() > 0
+    rows = [("A", 0, 1), ("A", 1, 1), ("B", 0, 0), ("B", 1, 1), ("D", 1, 0), ("D", 0, 0), ("C", 1, 0), ("C", 0, 1), ("D", 1, 1), (None, 1, 1), ("A", None, 1)] * 4
+    report = ordinal_report(spark.createDataFrame(rows, "majority_grade string, p_maj int, q_maj int"), ["p_maj", "q_maj"], "p_maj", n_draws=100)
+    assert report["coefficients"].count() == 5 and report["counterfactual"].count() == 2 and report["intervals"].count() == 8

@@ -183,3 +183,11 @@ def test_raw_inputs_to_comparison(spark):
     assert shares == {("Chicago", "A"): 0.6, ("Chicago", None): 0.4, ("New York", "D"): 1.0}
     assert {(r.city, r.grade_group): r.rate for r in study.compare_rate(comparison="A vs D").collect()} == {("Chicago", "A"): 50.0, ("New York", "D"): 25.0}
     assert {(r.city, r.grade_group): r.pp_total for r in study.compare_spending(comparison="A vs D").collect()} == {("Chicago", "A"): 10.0, ("New York", "D"): 20.0}
+
+
+def test_term_search_treats_plain_and_regex_terms_alike(spark):
+    texts = ["low-cost", "a licence", "license", "LOW", "x.y", "xzy", "", "line\nlow\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    got = [r[0] for r in df.select(scalars.matches_any("d", ["low", "licen[cs]e", "x\\.y"])).collect()]
+    assert got == [True, True, True, False, True, False, False, True, None]
+    assert [r[0] for r in df.select(scalars.matches_any("d", ["low"])).collect()][:2] == [True, False]
