@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
       where c.grade = 'A' group by c.city""").replace("else left(c.city, 2)", "when 'AMERICA' then 'AM' else left(c.city, 2)"),
     "composition_mean": _by_grade("select city, grade, category, round(value, 6) as value from by_grade"),
     "pair_index": _by_grade("select city, grade, category, cast(row_number() over (partition by city, grade order by category) as int) as paired from by_grade"),
-    "rank_by_mean": _by_grade("""select city, category, round(mean, 6) as value, cast(rank() over (partition by city order by mean) as int) as rank
+    "rank_by_mean": _by_grade("""select city, category, round(mean, 6) as value, cast(dense_rank() over (partition by city order by round(mean, 9)) as int) as rank
       from (select city, category, avg(value) as mean from by_grade group by city, category) m"""),
     "fixed_order": _by_grade("""select city, grade, category, round(value, 6) as value,
       cast(list_position(['n_low', 'n_urgent', 'n_high', 'n_medium', 'n_unspecified'], category) as bigint) as position from by_grade"""),

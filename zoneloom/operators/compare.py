@@ -71,9 +71,12 @@ def pair_index(summary: DataFrame, by: Sequence[str], category: str, name: str =
 
 
 def rank_by_mean(summary: DataFrame, by: Sequence[str], category: str, value: str, name: str = "rank") -> DataFrame:
-    """Categories of a summary table ranked by their mean value, lowest first."""
+    """Categories of a summary table ranked by their mean value, lowest first; equal means share a rank.
+
+    Means are compared to nine digits, so that the order of summation cannot part equal ones.
+    """
     means = summary.groupBy(*by, category).agg(F.avg(value).alias(value))
-    return means.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(value)))
+    return means.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.round(value, 9))))
 
 
 def category_percent(df: DataFrame, by: Sequence[str], category: str, name: str = "percent") -> DataFrame:
