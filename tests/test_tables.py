@@ -130,6 +130,9 @@ def test_layers_from_geojson(spark, tmp_path):
         assert len(rows["A"].polygons[0]) == 2 and len(rows[None].polygons) == 2 and rows["C"].polygons is None
         assert rows["A"].polygons[0][1][1].x == 0.75
     assert split.filter("layer = 'south'").count() == 1
+    (lines / "south.geojson").write_text(json.dumps(found[0])[:-40] + "\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        scan_layers(spark, str(lines), "grade string").collect()
 
 
 def test_publish_and_register(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 _POINT = "named_struct('x', p[0], 'y', p[1])"
 _POLYGONS = "array<array<array<array<double>>>>"
 _POLYGON = "array<array<array<double>>>"
+_FEATURE_LINE = r'"type"\s*:\s*"Feature"'
 
 
 def _feature_type(properties: str) -> str:
@@ -31,7 +32,7 @@ def scan_layers(spark: SparkSession, path: str, properties: str, pattern: str =
     """All layers below a folder: ``(layer, properties..., polygons)``.
 
     ``properties`` declares the attributes, e.g. ``"grade string"``. One feature per line is expected, bare or
-    inside a collection, so large files are split. ``documents=True`` reads collections laid out in any other way,
+    inside a collection, so large files are split; a feature line that does not parse is an error. ``documents=True`` reads collections laid out in any other way,
     each file in one task. The layer is the partition folder ``layer=...`` if there is one, else the file name.
     """
     source = spark.read.option("pathGlobFilter", pattern)
@@ -41,8 +42,9 @@ def scan_layers(spark: SparkSession, path: str, properties: str, pattern: str =
     else:
         raw = source.text(path)
         line = F.regexp_replace(F.trim("value"), r",$", "")
-        rows = raw.select(
-            "*", F.col("_metadata.file_name").alias("_file"), F.from_json(line, _feature_type(properties)).alias("feature")
-        ).filter("feature.type = 'Feature'")
+        rows = raw.filter(F.col("value").rlike(_FEATURE_LINE)).select(
+            "*", F.col("_metadata.file_name").alias("_file"),
+            F.from_json(line, _feature_type(properties), {"mode": "FAILFAST"}).alias("feature"),
+        )
     layer = F.col("layer") if "layer" in raw.columns else F.regexp_replace("_file", r"\.[^.]*$", "")
     return _flatten(rows.select(layer.alias("layer"), "feature"))
