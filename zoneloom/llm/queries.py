@@ -2,24 +2,68 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from zoneloom.llm.decontam import contaminated
 from zoneloom.llm.oracles import ORACLES  # noqa: F401
+from zoneloom.llm.pieces import decode_pieces, encode_pieces
+from zoneloom.llm.quality import fit_quality, score_documents
 from zoneloom.llm.shards import shard_records
 from zoneloom.llm.simhash import hex_fingerprint, near_duplicates
 from zoneloom.llm.tables import table
+from zoneloom.llm.tokens import read_documents, write_token_files
+from zoneloom.session import scratch_path
+
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_records(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return shard_records(documents(spark, sf_dir))
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; ``round_trip`` compares the decoded text's SHA-256 with the text's own."""
+    docs = documents(spark, sf_dir)
+    marked = docs.select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("row"), "text")
+    coded = decode_pieces(encode_pieces(marked, PIECE_MODEL, "row"), PIECE_MODEL)
+    return coded.select(
+        "row.doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces_crc32",
+        F.length("decoded").cast("bigint").alias("n_chars"), (F.sha2("decoded", 256) == F.col("row.sha")).alias("round_trip"),
+    )
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), out, BYTE_BPE)
+    return read_documents(spark, out)
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op8_pieces": op8_pieces,
+    "op10_token_files": op10_token_files,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] =
 def byte_chunks(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string array that hold ``limit`` bytes at most, or one longer row."""
     first, size = 0, 0
-    for row, length in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for row, length in enumerate(pc.binary_length(texts).to_pylist()):
         length = length or 0
         if row > first and size + length > limit:
             yield first, row
