@@ -74,12 +74,15 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Trees:
-    """Boosted trees for 0/1 labels under logistic loss; splits are searched on histograms of the binned columns."""
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, weight: np.ndarray | None = None) -> Trees:
+    """Boosted trees for 0/1 labels under logistic loss; splits are searched on histograms of the binned columns.
+
+    A row may stand for ``weight`` equal ones."""
     none = Trees(0.0, np.zeros((0, 2**depth - 1), np.int64), np.zeros((0, 2**depth - 1)), np.zeros((0, 2**depth)))
     if not len(y):
         return none
-    rate = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    weight = np.ones(len(y)) if weight is None else weight
+    rate = min(max(float(np.average(y, weights=weight)), 1e-3), 1 - 1e-3)
     none.base = math.log(rate / (1 - rate))
     if y.min() == y.max():
         return none
@@ -93,7 +96,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     margin = np.full(len(y), model.base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = p - y, p * (1 - p)
+        grad, hess = weight * (p - y), weight * p * (1 - p)
         node = np.zeros(len(y), np.int64)  # within its level
         for level in range(depth):
             nodes, first = 2**level, 2**level - 1

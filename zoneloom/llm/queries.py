@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from zoneloom.llm.decontam import contaminated
 from zoneloom.llm.oracles import ORACLES  # noqa: F401
 from zoneloom.llm.pieces import decode_pieces, encode_pieces
+from zoneloom.llm.pii import KINDS, find_personal_data, written
 from zoneloom.llm.quality import fit_quality, score_documents
+from zoneloom.llm.rules import apply_rules
 from zoneloom.llm.shards import shard_records
 from zoneloom.llm.simhash import hex_fingerprint, near_duplicates
 from zoneloom.llm.tables import table
@@ -42,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; ``round_trip`` compares the decoded text's SHA-256 with the text's own."""
     docs = documents(spark, sf_dir)
@@ -53,6 +59,13 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("bigint").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), out, BYTE_BPE)
@@ -64,6 +77,8 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
     "op8_pieces": op8_pieces,
+    "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
 }
