@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneloom.llm.decontam import contaminated
+from zoneloom.llm.html import extract
 from zoneloom.llm.oracles import ORACLES  # noqa: F401
-from zoneloom.llm.pieces import decode_pieces, encode_pieces
+from zoneloom.llm.pieces import encode_pieces
 from zoneloom.llm.pii import KINDS, find_personal_data, written
 from zoneloom.llm.quality import fit_quality, score_documents
 from zoneloom.llm.rules import apply_rules
@@ -26,6 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
@@ -52,7 +57,7 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again; ``round_trip`` compares the decoded text's SHA-256 with the text's own."""
     docs = documents(spark, sf_dir)
     marked = docs.select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("row"), "text")
-    coded = decode_pieces(encode_pieces(marked, PIECE_MODEL, "row"), PIECE_MODEL)
+    coded = encode_pieces(marked, PIECE_MODEL, "row", decoded=True)
     return coded.select(
         "row.doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "pieces_crc32",
         F.length("decoded").cast("bigint").alias("n_chars"), (F.sha2("decoded", 256) == F.col("row.sha")).alias("round_trip"),
@@ -73,6 +78,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
