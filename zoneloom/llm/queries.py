@@ -15,6 +15,7 @@ from zoneloom.llm.quality import fit_quality, score_documents
 from zoneloom.llm.rules import apply_rules
 from zoneloom.llm.shards import shard_records
 from zoneloom.llm.simhash import hex_fingerprint, near_duplicates
+from zoneloom.llm.suffix import remove_repeats
 from zoneloom.llm.tables import table
 from zoneloom.llm.tokens import read_documents, write_token_files
 from zoneloom.session import scratch_path
@@ -36,6 +37,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"])))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
@@ -80,6 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html": op1_html,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
