@@ -168,12 +168,12 @@ ORACLES: dict[str, str] = {
       case n when 1 then x0 when 2 then x0 else x1 end as x1, case n when 1 then y0 when 4 then y0 else y1 end as y1,
       case n when 2 then x1 when 3 then x1 else x0 end as x2, case n when 1 then y1 when 2 then y1 else y0 end as y2
       from (select city, zone_id, x0, y0, x1, y1, unnest([1, 2, 3, 4]) as n from fx_zone) z"""),
-    "publish_roundtrip": _sql([AREA], "select city, area_id, grade, x0, y0 from fx_area where city = 'EUROPE'"),
+    "publish_roundtrip": _sql([AREA], "select city, area_id, grade, x0, y0 from fx_area"),
     "clean_headers": _sql([ENTITY], "select entity_id as \"EntityID\", n_high as nhigh, n_low as nlowallgrades from fx_entity"),
     "drop_columns": _sql([ENTITY], "select city, entity_id, level, n_urgent, n_high, n_medium, n_low, n_total, n_subsidised from fx_entity"),
     "column_range": _sql([ENTITY], "select entity_id, n_urgent, n_high, n_medium, n_unspecified, n_low, n_total from fx_entity"),
     "rename_cols": _sql([AREA], "select city, area_id as unit_id, grade as \"Majority Grade\" from fx_area"),
-    "tag_union": _sql([AREA], "select city, 'areas' as source, area_id, grade from fx_area where city in ('AMERICA', 'ASIA', 'EUROPE')"),
+    "tag_union": _sql([AREA], "select city, 'areas' as source, area_id, grade from fx_area"),
     "coerce_numeric": _sql([ENTITY], "select entity_id, " + ", ".join(f"{_number_or_null(c)} as {c}" for c in COUNTS) + " from fx_entity"),
     "row_percent": _sql([ENTITY], "select entity_id, " + ", ".join(f"round({_percent(c)}, 6) as {c}" for c in [*COUNTS, "n_subsidised"]) + " from fx_entity"),
     "ordinal_levels": _sql([AREA], "select city, area_id, case grade when 'A' then 1 when 'B' then 2 when 'C' then 3 end as grade_level from fx_area"),
@@ -200,6 +200,27 @@ ORACLES: dict[str, str] = {
       union all select city, zone_id, x1, y0, x0, y0 from fx_zone"""),
     "layer_bbox": _sql([AREA], "select city, min(x0) as xmin, min(y0) as ymin, max(x1) as xmax, max(y1) as ymax from fx_area group by city"),
     "overlay_area": _sql([ZONE, AREA, OVERLAP], "select city, zone_id, area_id, round(area, 6) as area from overlap"),
+    "multipart_zones": _sql([ZONE, AREA, ENTITY], """, parts as (
+       select city, zone_id, x0, (x0 + x1) / 2 + 0.25 as x1, y0, y1 from fx_zone union all select city, zone_id, (x0 + x1) / 2 - 0.25, x1, y0, y1 from fx_zone),
+      own as (select city, zone_id, sum((x1 - x0) * (y1 - y0)) as area from parts group by city, zone_id),
+      meet as (select z.city, z.zone_id, a.area_id, (least(z.x1, a.x1) - greatest(z.x0, a.x0)) * (least(z.y1, a.y1) - greatest(z.y0, a.y0)) as area
+       from parts z join fx_area a on z.city = a.city and z.x0 < a.x1 and a.x0 < z.x1 and z.y0 < a.y1 and a.y0 < z.y1),
+      shared as (select city, zone_id, sum(area) as shared, count(distinct area_id) as n_areas from meet group by city, zone_id),
+      held as (select z.city, z.zone_id, count(*) as n_entities from fx_zone z join fx_entity e on e.city = z.city and e.x between z.x0 and z.x1 and e.y between z.y0 and z.y1 group by z.city, z.zone_id)
+      select o.city, o.zone_id, round(o.area, 6) as area, round(s.shared, 6) as shared, s.n_areas, h.n_entities
+      from own o left join shared s on s.city = o.city and s.zone_id = o.zone_id left join held h on h.city = o.city and h.zone_id = o.zone_id""").replace(")\n, parts", "),\nparts"),
+    "overlay_polygons": _sql([ZONE, AREA], """, meet as (select z.city, z.zone_id, a.area_id, (z.y1 - z.y0) / (z.x1 - z.x0) as s, greatest(z.x0, a.x0) as lo, least(z.x1, a.x1) as hi,
+       greatest(z.y0, a.y0) as bottom, a.y1 as top, z.x0, z.y0 from fx_zone z join fx_area a on z.city = a.city and z.x0 < a.x1 and a.x0 < z.x1 and z.y0 < a.y1 and a.y0 < z.y1),
+      ends as (select *, y0 + (lo - x0) * s as l, y0 + (hi - x0) * s as h from meet),
+      above as (select *, case when h <= bottom then 0 when l >= bottom then (l + h - 2 * bottom) / 2 * (hi - lo) else (h - bottom) * (h - bottom) / (2 * s) end
+       - case when h <= top then 0 when l >= top then (l + h - 2 * top) / 2 * (hi - lo) else (h - top) * (h - top) / (2 * s) end as area from ends)
+      select city, zone_id, area_id, round(area, 6) as area from above where area > 1e-9""").replace(")\n, meet", "),\nmeet"),
+    "project_edges": _sql([GEO.replace("fx_geo as", "fx_base as"), """fx_geo as (select id * 10 + c as id, lon + dx as lon, lat + dy as lat
+       from fx_base, (values (1, 0.0::double, 0.0::double), (2, 0.0, 0.25), (3, 0.5, 0.25), (4, 0.5, 0.0)) v(c, dx, dy))""", ALBERS,
+      """corners as (select id // 10 as id, id % 10 as c, lon, lat, round(a*sqrt(c-n*q)/n*sin(th), 3) + 0.0::double as x,
+       round(a*sqrt(c-n*q0)/n - a*sqrt(c-n*q)/n*cos(th), 3) + 0.0::double as y from placed)"""],
+      """select a.id, a.c::int as edge_no, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2, a.x as x1, a.y as y1, b.x as x2, b.y as y2
+       from corners a join corners b on b.id = a.id and b.c = a.c % 4 + 1"""),
     "points_in_zones": _sql([ZONE, ENTITY, IN_ZONE], "select city, entity_id, zone_id from in_zone"),
     "points_in_fragments": _sql([ZONE, AREA, ENTITY, IN_ZONE, IN_AREA, LOCATED], "select city, entity_id, zone_id, area_id from located"),
     "zone_grade_area": _sql([ZONE, AREA, OVERLAP], "select city, zone_id, grade, round(sum(area), 6) as area from overlap group by city, zone_id, grade"),
@@ -233,9 +254,9 @@ ORACLES: dict[str, str] = {
     "compare_spending": _sql([*COMBINED_PARTS, SPENDING, GROUPS], """select c.city, comparison, grade_group, round(avg(s.pp_total), 6) as pp_total
       from combined c join groups on c.grade = groups.grade left join fx_spending s on s.state = c.city and s.id = cast(c.entity_id as bigint)
       group by c.city, comparison, grade_group"""),
-    "spend_by_group": _sql([*COMBINED_PARTS, SPENDING], """select c.city, case c.city when 'MIDDLE EAST' then 'ME' else left(c.city, 2) end as code, 'A' as grade_group,
-      round(avg(s.pp_total), 6) as pp_total from combined c left join fx_spending s on s.state = c.city and s.id = cast(c.entity_id as bigint)
-      where c.grade = 'A' group by c.city""").replace("else left(c.city, 2)", "when 'AMERICA' then 'AM' else left(c.city, 2)"),
+    "spend_by_group": _sql([*COMBINED_PARTS, SPENDING], """select c.city, case c.city when 'MIDDLE EAST' then 'ME' else left(c.city, 2) end as code, g.grade_group,
+      round(avg(s.pp_total), 6) as pp_total from combined c join (values ('A', 'A'), ('D', 'D'), ('A/B', 'A'), ('A/B', 'B'), ('C/D', 'C'), ('C/D', 'D')) g(grade_group, grade)
+      on g.grade = c.grade left join fx_spending s on s.state = c.city and s.id = cast(c.entity_id as bigint) group by c.city, g.grade_group""").replace("else left(c.city, 2)", "when 'AMERICA' then 'AM' else left(c.city, 2)"),
     "composition_mean": _by_grade("select city, grade, category, round(value, 6) as value from by_grade"),
     "pair_index": _by_grade("select city, grade, category, cast(row_number() over (partition by city, grade order by category) as int) as paired from by_grade"),
     "rank_by_mean": _by_grade("""select city, category, round(mean, 6) as value, cast(dense_rank() over (partition by city order by round(mean, 9)) as int) as rank

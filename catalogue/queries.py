@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogue import views
 from zoneloom.functions import projection, scalars
-from zoneloom.operators import compare, edges as E, ordinal, shape
+from zoneloom.operators import compare, edges as E, ordinal, overlay, shape
 from zoneloom.operators.classify import category_share, category_weight
 from zoneloom.operators.locate import points_in_polygons
 from zoneloom.operators.quantiles import exact_quantiles
@@ -112,7 +112,7 @@ def polygon_edges(spark, sf_dir):
 def publish_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "published")
     publish(views.areas(spark, sf_dir), path, "city")
-    return read_published(spark, path, "city", "EUROPE").select("city", "area_id", "grade", "x0", "y0")
+    return read_published(spark, path, "city").select("city", "area_id", "grade", "x0", "y0")
 
 
 # Projection and schema
@@ -148,7 +148,7 @@ def rename_cols(spark, sf_dir):
 def tag_union(spark, sf_dir):
     """Per-city tables without their city, stacked with city and state tags again."""
     table = views.areas(spark, sf_dir)
-    parts = {c: table.filter(F.col("city") == c).drop("city") for c in ("AMERICA", "ASIA", "EUROPE")}
+    parts = {c: table.filter(F.col("city") == c).drop("city") for c in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
     tagged = shape.union_tagged(parts, "city").withColumn("source", F.lit("areas"))
     return tagged.select("city", "source", "area_id", "grade")
 
@@ -229,6 +229,45 @@ def sample_text(spark, sf_dir):
 # Spatial
 
 
+def _split_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each zone box as two rows of one id that overlap in their middle, the second one's ring turned round."""
+    boxes = views.zones(spark, sf_dir).selectExpr("*", "(x0 + x1) / 2 as xm")
+    ring = "array(array(named_struct('x', {0}, 'y', y0), named_struct('x', {0}, 'y', y1), named_struct('x', {1}, 'y', y1), named_struct('x', {1}, 'y', y0)))".format
+    first = boxes.selectExpr(*ZONE_KEY, f"array({ring('x0', 'xm + 0.25')}) as polygons")
+    second = boxes.selectExpr(*ZONE_KEY, f"array({ring('x1', 'xm - 0.25')}) as polygons")
+    return E.normalize_rings(E.polygon_edges(first.unionByName(second), ZONE_KEY, "polygons"), ZONE_KEY)
+
+
+@query
+def multipart_zones(spark, sf_dir):
+    """Zones of two overlapping rows: own area, area shared with graded areas, and entities held."""
+    edges, areas = cut_lineage(_split_zones(spark, sf_dir)), views.areas(spark, sf_dir)
+    own = E.polygon_area(edges, ZONE_KEY)
+    shared = overlay.overlay_area(edges, E.box_edges(areas, AREA_KEY), ["city"], "zone_id", "area_id")
+    held = points_in_polygons(views.entities(spark, sf_dir), edges, ["city"], "entity_id", "zone_id")
+    shared = shared.groupBy(*ZONE_KEY).agg(F.sum("area").alias("shared"), F.count(F.lit(1)).alias("n_areas"))
+    held = held.groupBy(*ZONE_KEY).agg(F.count(F.lit(1)).alias("n_entities"))
+    return _rounded(own.join(shared, ZONE_KEY, "left").join(held, ZONE_KEY, "left"), area=6, shared=6)
+
+
+@query
+def overlay_polygons(spark, sf_dir):
+    """Slanted zones (lower right triangles of their boxes) over the graded boxes."""
+    zones = views.zones(spark, sf_dir)
+    ring = "array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), named_struct('x', x1, 'y', y0)))"
+    triangles = E.normalize_rings(E.polygon_edges(zones.withColumn("polygons", F.expr(f"array({ring})")), ZONE_KEY, "polygons"), ZONE_KEY)
+    found = overlay.overlay_area(triangles, _area_edges(spark, sf_dir), ["city"], "zone_id", "area_id")
+    return _rounded(found, area=6)
+
+
+@query
+def project_edges(spark, sf_dir):
+    """Both ends of the edges of small boxes around points, projected; source coordinates kept."""
+    boxes = views.geo_points(spark, sf_dir).selectExpr("id", "lon as x0", "lat as y0", "lon + 0.5 as x1", "lat + 0.25 as y1")
+    return _rounded(projection.project_edges(E.box_edges(boxes, ["id"]), projection.albers).select(
+        "id", "edge_no", "lon1", "lat1", "lon2", "lat2", "x1", "y1", "x2", "y2"), x1=3, y1=3, x2=3, y2=3)
+
+
 @query
 def make_points(spark, sf_dir):
     """Text coordinates; where a count carries the bad marker, so does the longitude."""
@@ -394,10 +433,10 @@ def compare_spending(spark, sf_dir):
 
 @query
 def spend_by_group(spark, sf_dir):
-    """One group's spending per city, labelled by key."""
-    result = _study(spark, sf_dir, entities=True).compare_spending(comparison="A vs D")
+    """Spending per city and grade group, labelled by key."""
+    result = _study(spark, sf_dir, entities=True).compare_spending()
     codes = {"AFRICA": "AF", "AMERICA": "AM", "ASIA": "AS", "EUROPE": "EU", "MIDDLE EAST": "ME"}
-    named = result.filter("grade_group = 'A'").withColumn("code", scalars.relabel("city", codes))
+    named = result.withColumn("code", scalars.relabel("city", codes))
     return _rounded(named.select("city", "code", "grade_group", "pp_total"), pp_total=6)
 
 

@@ -15,6 +15,12 @@ def to_number(name: str) -> Column:
     return F.expr(f"try_cast(`{name}` as double)")
 
 
+def to_id(name: str) -> Column:
+    """Text or number as a whole number, also from forms like ``1.7E+11`` or ``42.0``; anything else is NULL."""
+    exact = f"try_cast(`{name}` as decimal(38, 4))"
+    return F.expr(f"if({exact} = floor({exact}), try_cast({exact} as bigint), null)")
+
+
 def percent_of(part: str, total: str) -> Column:
     """``part`` in percent of ``total``, both possibly text; NULL when either is no number or the total is zero."""
     return F.expr(f"try_divide(try_cast(`{part}` as double), try_cast(`{total}` as double)) * 100")
@@ -57,10 +63,6 @@ def matches_any(name: str, terms: Sequence[str]) -> Column:
     return reduce(Column.__or__, tests)
 
 
-def logistic(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-
-
 def thousands(name: str) -> Column:
     """Rounded to a whole number, halves to the even one, with thousands separators."""
     return F.format_number(F.col(name), 0)

@@ -73,16 +73,12 @@ def pair_index(summary: DataFrame, by: Sequence[str], category: str, name: str =
 def rank_by_mean(summary: DataFrame, by: Sequence[str], category: str, value: str, name: str = "rank") -> DataFrame:
     """Categories of a summary table ranked by their mean value, lowest first; equal means share a rank.
 
-    Means are compared to nine digits, so that the order of summation cannot part equal ones.
+    Means are compared to ten digits of their own size, so that the order of summation cannot part equal ones.
     """
     means = summary.groupBy(*by, category).agg(F.avg(value).alias(value))
-    return means.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.round(value, 9))))
-
-
-def category_percent(df: DataFrame, by: Sequence[str], category: str, name: str = "percent") -> DataFrame:
-    """Rows of each category in percent of all rows of its group."""
-    counts = df.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(name, F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(*by)))
+    size = F.expr(f"pow(10, floor(log10(nullif(abs(`{value}`), 0))))")
+    shown = F.coalesce(F.round(F.col(value) / size, 9) * size, F.col(value))
+    return means.withColumn(name, F.dense_rank().over(Window.partitionBy(*by).orderBy(shown)))
 
 
 def in_order(df: DataFrame, column: str, domain: Sequence[str], *then: str) -> DataFrame:

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Ring numbers of a feature's second row, third row, ... start at multiples of this.
+ROW_STEP = 1 << 50
+
 EDGE_COLUMNS = ("ring_no", "hole", "edge_no", "x1", "y1", "x2", "y2")
 
 
@@ -25,14 +28,17 @@ def box_edges(boxes: DataFrame, ids: Sequence[str], x0="x0", y0="y0", x1="x1", y
 def polygon_edges(features: DataFrame, ids: Sequence[str], polygons: str) -> DataFrame:
     """Edges of ``polygons``: array of polygons, each an array of rings, each an array of ``<x, y>`` points.
 
-    The first ring of a polygon is its outline, the rest are holes. An open ring gets its closing edge.
+    The first ring of a polygon is its outline, the rest are holes. An open ring gets its closing edge. Ids may repeat:
+    the rings of a further row with the same ids get numbers of their own.
     """
+    rows = Window.partitionBy(*ids).orderBy(F.xxhash64(polygons))
     rings = (
-        features.select(*ids, F.posexplode(polygons).alias("part_no", "rings"))
-        .select(*ids, "part_no", F.posexplode("rings").alias("ring_pos", "points"))
+        features.select(*ids, polygons, ((F.row_number().over(rows) - 1) * F.lit(ROW_STEP)).alias("row_base"))
+        .select(*ids, "row_base", F.posexplode(polygons).alias("part_no", "rings"))
+        .select(*ids, "row_base", "part_no", F.posexplode("rings").alias("ring_pos", "points"))
         .filter(F.size("points") > 0)
         .select(
-            *ids, (F.col("part_no") * F.lit(1 << 32) + F.col("ring_pos")).alias("ring_no"),
+            *ids, (F.col("row_base") + F.col("part_no") * F.lit(1 << 32) + F.col("ring_pos")).alias("ring_no"),
             (F.col("ring_pos") > 0).alias("hole"), "points",
         )
     )

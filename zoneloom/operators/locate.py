@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zoneloom.operators.edges import ROW_STEP
 from zoneloom.operators.grid import candidate_points, cell_of, cells_between, outlines
 
 
@@ -15,7 +16,7 @@ def _y_slabs(edges: DataFrame, headers: DataFrame, on: Sequence[str], polygon: s
     rows = edges.join(headers.select(*on, polygon, "y_level"), [*on, polygon])
     return rows.selectExpr(
         *on, polygon, f"{cells_between('least(y1, y2)', 'greatest(y1, y2)', 'y_level')} as slab",
-        "x1", "y1", "x2", "y2",
+        f"floor(ring_no / {ROW_STEP}) as row_no", "x1", "y1", "x2", "y2",
     )
 
 
@@ -25,7 +26,7 @@ def points_in_polygons(
 ) -> DataFrame:
     """``(on, point, polygon)`` for every point inside a polygon or on its boundary; holes do not count as inside.
 
-    Points must be unique by ``on`` and ``point``. Points without coordinates match nothing.
+    A feature of several rows holds what one of its rows holds, overlapping or not. Points must be unique by ``on`` and ``point``. Points without coordinates match nothing.
     """
     headers = outlines(edges, on, polygon) if polygon_outlines is None else polygon_outlines
     placed = points.selectExpr(*on, point, f"{x} as px", f"{y} as py").filter("px is not null and py is not null")
@@ -39,10 +40,11 @@ def points_in_polygons(
     )
     return (
         near.join(_y_slabs(edges, headers, on, polygon), [*on, polygon, "slab"])
-        .groupBy(*on, point, polygon)
+        .groupBy(*on, point, polygon, "row_no")
         .agg(F.expr(f"count_if({crosses}) % 2 = 1 or bool_or({on_edge}) as held"))
         .filter("held")
         .select(*on, point, polygon)
+        .distinct()
     )
 
 

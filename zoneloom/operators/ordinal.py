@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from zoneloom.functions.scalars import ordinal
 from zoneloom.session import cut_lineage
 
-# Beyond this a coefficient is an odds ratio of 1e13: the data separate the outcome and no maximum exists.
-MAX_COEFFICIENT = 30.0
-# Draws times parameters that may be sent to every executor.
+# Standard error of a slope, per deviation of its predictor, beyond which the likelihood is flat: no maximum exists.
+MAX_ERROR = 100.0
+# Draws times parameters that are sent to every executor; more are joined by key.
 MAX_BROADCAST_NUMBERS = 5_000_000
 
 
@@ -90,8 +90,13 @@ def _score(cells: DataFrame, predictors: Sequence[str], k: int, theta: np.ndarra
 def fit_ordinal(
     df: DataFrame, outcome: str, predictors: Sequence[str], levels: Sequence[str], max_steps: int = 50, tolerance: float = 1e-9
 ) -> OrdinalFit:
-    """Maximum-likelihood fit by Newton steps, halved where a step would not raise the likelihood."""
-    cells = cut_lineage(ordinal_cells(df, outcome, predictors, levels))
+    """Maximum-likelihood fit by Newton steps, halved where a step would not raise the likelihood.
+
+    Steps are taken for predictors brought to mean 0 and deviation 1, whatever their unit; the result is in their own.
+    """
+    counted = cut_lineage(ordinal_cells(df, outcome, predictors, levels))
+    mean, deviation = _centres(counted, predictors)
+    cells = cut_lineage(counted.withColumns({q: (F.col(q) - float(c)) / float(d) for q, c, d in zip(predictors, mean, deviation)}))
     k, p = len(levels), len(predictors)
     per_level = {r["y"]: r["n"] for r in cells.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     empty = [levels[i - 1] for i in range(1, k + 1) if not per_level.get(i)]
@@ -119,16 +124,33 @@ def fit_ordinal(
             if scale < 1e-10:
                 raise ValueError("no step raises the likelihood")
         theta, level, gradient, hessian = tried, new_level, new_gradient, new_hessian
-        if np.max(np.abs(theta)) > MAX_COEFFICIENT:
-            raise ValueError("a predictor separates the outcome levels; the likelihood has no maximum")
     else:
         raise ValueError(f"not converged after {max_steps} steps")
+    covariance = np.linalg.inv(-hessian)
+    if np.max(np.diag(covariance)[:p], initial=0) > MAX_ERROR**2:
+        raise ValueError("a predictor separates the outcome levels; the likelihood has no maximum")
+    # The same model for the predictors as they are: slopes by deviation, cuts moved by slope times mean.
+    back = np.eye(len(theta))
+    back[:p, :p] = np.diag(1 / deviation)
+    back[p:, :p] = mean / deviation
+    own = back @ theta
     return OrdinalFit(
-        tuple(levels), tuple(predictors), tuple(theta[:p].tolist()), tuple(theta[p:].tolist()),
-        np.linalg.inv(-hessian), level, tuple(gradient.tolist()), step,
+        tuple(levels), tuple(predictors), tuple(own[:p].tolist()), tuple(own[p:].tolist()),
+        back @ covariance @ back.T, level, tuple(np.linalg.solve(back.T, gradient).tolist()), step,
     )
 
 
+def _centres(cells: DataFrame, predictors: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the predictors over all rows; 1 where there is no deviation."""
+    if not predictors:
+        return np.zeros(0), np.ones(0)
+    means = cells.agg(*[F.expr(f"sum(n * `{q}`) / sum(n)").alias(f"m{i}") for i, q in enumerate(predictors)]).first()
+    mean = np.array([m if m is not None else 0.0 for m in means], float)
+    spread = cells.agg(*[F.expr(f"sqrt(sum(n * pow(`{q}` - {_number(c)}, 2)) / sum(n))").alias(f"d{i}") for i, (q, c) in enumerate(zip(predictors, mean))]).first()
+    deviation = np.array([d or 1.0 for d in spread], float)
+    return mean, deviation
+
+
 def coefficient_table(spark: SparkSession, fit: OrdinalFit) -> DataFrame:
     """``(term, estimate, std_error, t_value, p_value)``, one row per parameter."""
     rows = []
@@ -164,8 +186,6 @@ def simulate_draws(df: DataFrame, fit: OrdinalFit, effect: str, values: Sequence
     """``(draw, effect_value, outcome, prob)``: per draw from the fit's normal approximation, the mean over all rows."""
     spark = df.sparkSession
     m, k = len(fit.terms), len(fit.levels)
-    if n_draws * m > MAX_BROADCAST_NUMBERS:
-        raise ValueError(f"{n_draws} draws of {m} parameters are more than {MAX_BROADCAST_NUMBERS} numbers")
     root = np.linalg.cholesky(fit.covariance)
     centre = [*fit.beta, *fit.cuts]
     # One partition, so that the same seed gives the same draws on any cluster.
@@ -178,8 +198,8 @@ def simulate_draws(df: DataFrame, fit: OrdinalFit, effect: str, values: Sequence
     own = fit.predictors.index(effect)
     rows = df.select(*[F.col(p).cast("double").alias(p) for p in fit.predictors]).dropna("any")
     cells = rows.groupBy(*[p for _, p in others]).agg(F.count(F.lit(1)).alias("n"))
-    # Each cell is listed once per draw and meets its parameters by key; the draws are bounded above.
-    listed = cells.selectExpr("*", f"explode(sequence(0, {n_draws - 1})) as draw").join(F.broadcast(draws), "draw")
+    # Each cell is listed once per draw and meets its parameters by key.
+    listed = cells.selectExpr("*", f"explode(sequence(0, {n_draws - 1})) as draw").join(F.broadcast(draws) if n_draws * m <= MAX_BROADCAST_NUMBERS else draws, "draw")
     rest = " + ".join(f"`{p}` * t{i}" for i, p in others) or "double(0)"
     scenarios = "array(" + ", ".join(_number(v) for v in values) + ")"
     argument = listed.selectExpr("*", f"{rest} as rest", f"explode({scenarios}) as effect_value").selectExpr(
@@ -199,6 +219,7 @@ def interval_table(draws: DataFrame, low: float = 0.025, high: float = 0.975, di
     """
     table = draws.groupBy("outcome", "effect_value").agg(
         F.expr(f"percentile(prob, array({low}, {high})) as q"), F.avg("prob").alias("mean")
-    ).selectExpr("outcome", "effect_value", f"round(q[0], {digits}) as lower", f"round(mean, {digits}) as mean", f"round(q[1], {digits}) as upper")
+    ).selectExpr("outcome", "effect_value", "q[0] as lower", "mean", "q[1] as upper")
     both = Window.partitionBy("outcome")
-    return table.withColumn("apart", F.max("lower").over(both) > F.min("upper").over(both))
+    judged = table.withColumn("apart", F.max("lower").over(both) > F.min("upper").over(both))
+    return judged.withColumns({c: F.round(c, digits) for c in ("lower", "mean", "upper")})

@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zoneloom.operators.grid import candidate_pairs, cell_of, cells_between, outlines
 
+# Times a strip's width and coordinates: what rounding may leave of it in a sum, a few units in the last place.
+ROUNDING = 8 * 2.0**-52
+
 
 def _x_slabs(edges: DataFrame, headers: DataFrame, on: Sequence[str], feature: str, side: str) -> DataFrame:
     """Edges listed in the x slabs they cross, columns prefixed with the side.
@@ -38,13 +42,14 @@ def _height(side: str, x: str) -> str:
 
 
 def overlay_area(
-    left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, min_area: float = 1e-6,
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, min_area: float = 0.0,
     left_outlines: DataFrame | None = None, right_outlines: DataFrame | None = None,
 ) -> DataFrame:
     """``(on, left_id, right_id, area)`` for every pair of polygons that share more than ``min_area``.
 
-    Inputs are normalised edge tables in one planar system. The tolerance absorbs rounding around zero; polygons
-    that only touch are left out. Pass ``outlines`` tables that are already written to spare a scan of the edges.
+    Inputs are normalised edge tables in one planar system of any unit. A pair's area also has to be over what rounding
+    can add up to in its own sum, which follows its coordinates and widths; polygons that only touch are left out. A
+    feature of several rows counts with the sum of its rows. Pass ``outlines`` tables that are already written to spare a scan of the edges.
     """
     l_head = outlines(left, on, left_id) if left_outlines is None else left_outlines
     r_head = outlines(right, on, right_id) if right_outlines is None else right_outlines
@@ -52,6 +57,8 @@ def overlay_area(
     x_lo, x_hi = "greatest(l_xmin, r_xmin)", "least(l_xmax, r_xmax)"
     pairs = candidate_pairs(l_head, r_head, on, left_id, right_id).selectExpr(
         *on, l_key, r_key, f"{x_lo} as xlo", f"{x_hi} as xhi", "least(l_ymin, r_ymin) as base",
+        "greatest(abs(l_xmin), abs(l_xmax), abs(r_xmin), abs(r_xmax)) as x_size",
+        "greatest(abs(l_ymin), abs(l_ymax), abs(r_ymin), abs(r_ymax)) as y_size",
         "l_x_level", "r_x_level", f"{cells_between(x_lo, x_hi, 'l_x_level')} as l_slab",
     )
     # Each left edge is kept in the one slab where its part of the common x range begins, then spread over the
@@ -66,7 +73,7 @@ def overlay_area(
         .filter(f"l_lo < r_hi and r_lo < l_hi and {cell_of('greatest(l_lo, r_lo)', 'r_x_level')} = r_slab")
         .selectExpr("*", "greatest(l_lo, r_lo) as lo", "least(l_hi, r_hi) as hi")
         .selectExpr(
-            *on, f"{l_key} as {left_id}", f"{r_key} as {right_id}", "l_w * r_w as w", "hi - lo as width",
+            *on, f"{l_key} as {left_id}", f"{r_key} as {right_id}", "l_w * r_w as w", "hi - lo as width", "x_size", "y_size",
             f"{_height('l', 'lo')} as a0", f"{_height('l', 'hi')} as a1",
             f"{_height('r', 'lo')} as b0", f"{_height('r', 'hi')} as b1",
         )
@@ -79,9 +86,10 @@ def overlay_area(
         strips.selectExpr(
             *on, left_id, right_id,
             "w * width * (t * (least(a0, b0) + m) + (1 - t) * (m + least(a1, b1))) / 2 as part",
+            "width * y_size + greatest(abs(a0), abs(a1), abs(b0), abs(b1)) * x_size as doubt",
         )
         .groupBy(*on, left_id, right_id)
-        .agg({"part": "sum"})
-        .withColumnRenamed("sum(part)", "area")
-        .filter(f"area > {min_area!r}")
+        .agg(F.sum("part").alias("area"), F.sum("doubt").alias("doubt"))
+        .filter(f"area > {min_area!r} and area > doubt * {ROUNDING!r}")
+        .drop("doubt")
     )

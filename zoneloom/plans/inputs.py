@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.functions.scalars import to_number
+from zoneloom.functions.scalars import to_id, to_number
 from zoneloom.operators.edges import normalize_rings, polygon_edges
 from zoneloom.operators.shape import clean_headers, union_tagged
 from zoneloom.session import cut_lineage
@@ -31,10 +31,6 @@ CATEGORY_LABELS = {
     "NatHawaiianorOtherPacificIslStudents": "Native Hawaiian/Pacific Islander",
     "TwoorMoreRacesStudents": "Two or more Races",
 }
-CATEGORY_ORDER = [
-    "White", "Native Hawaiian/Pacific Islander", "Two or more Races", "Hispanic", "Black/African American",
-    "Asian/Asian Pacific Islander", "American Indian/Alaska Native",
-]
 DESCRIPTION_TERMS = [
     "infiltration", "encroachment", "colored", "low grade", "low class", "subversive", "undesirable", "negro",
     "inharmonious", "lower grade",
@@ -60,7 +56,7 @@ def prepare_spending(raw: DataFrame, city_by_state: Mapping[str, str] = CITY_BY_
     """``(city, id, pp_total)`` from the spending table; ids as numbers."""
     cities = F.create_map(*[F.lit(v) for item in city_by_state.items() for v in item])
     return raw.filter(F.col("state").isin(*city_by_state)).select(
-        cities[F.col("state")].alias("city"), F.expr("try_cast(ncesid as bigint)").alias("id"),
+        cities[F.col("state")].alias("city"), to_id("ncesid").alias("id"),
         F.col("pp_total_raw").alias("pp_total"),
     )
 
@@ -68,7 +64,7 @@ def prepare_spending(raw: DataFrame, city_by_state: Mapping[str, str] = CITY_BY_
 def prepare_zones(layers: Mapping[str, DataFrame], id_columns: Mapping[str, str]) -> DataFrame:
     """Zone edges ``(city, zone_id, ...)`` from one polygon layer per city, whose id columns differ."""
     named = {
-        city: df.select(F.expr(f"try_cast(`{id_columns[city]}` as bigint)").alias("zone_id"), "polygons")
+        city: df.select(to_id(id_columns[city]).alias("zone_id"), "polygons")
         for city, df in layers.items()
     }
     edges = polygon_edges(union_tagged(named, "city"), ["city", "zone_id"], "polygons")

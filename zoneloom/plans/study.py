@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.functions.scalars import flag_over, matches_any, ordinal, percent_of, relabel
+from zoneloom.functions.scalars import flag_over, matches_any, ordinal, percent_of, relabel, to_id
 from zoneloom.operators.classify import classify_majority
 from zoneloom.operators.compare import compare_groups, pair_index, sample_rows, sums_by_zone, unpivot_measures
 from zoneloom.operators.grid import outlines
@@ -66,6 +66,17 @@ class ZoneStudy:
             self._written = True
         return self
 
+    def of_city(self, city: str | None) -> ZoneStudy:
+        """The study with its inputs cut to one city; written stages are cut instead. ``None`` is the study itself."""
+        if city is None:
+            return self
+        inputs = ("zone_edges", "area_edges", "areas", "entities", "spending")
+        one = replace(self, **{n: self._in_city(getattr(self, n), city) for n in inputs if getattr(self, n) is not None})
+        if self._written:
+            one.classified, one.located = self._in_city(self.classified, city), self._in_city(self.located, city)
+            one._written = True
+        return one
+
     # Zones and their grades
 
     @cached_property
@@ -88,8 +99,8 @@ class ZoneStudy:
         )
 
     def zone_summary(self, city: str | None = None) -> DataFrame:
-        """Published table of classified zones; ``city`` prunes all inputs."""
-        return self._in_city(self.classified, city).withColumnRenamed(ZONE, "sab_id")
+        """Published table of classified zones, of one city or all."""
+        return self.of_city(city).classified.withColumnRenamed(ZONE, "sab_id")
 
     def map_layer(self) -> DataFrame:
         """Classified zones with the majority as an ordinal, for colouring."""
@@ -129,7 +140,8 @@ class ZoneStudy:
     def drill_down(self, city: str, zone_id: int) -> DataFrame:
         """One zone's rows: its fragments with grade, area, the zone's majority, and the entities in each."""
         chosen = (F.col("city") == city) & (F.col(ZONE) == zone_id)
-        one = ZoneStudy(self.zone_edges.filter(chosen), self.area_edges.filter(F.col("city") == city), self.areas, self.entities)
+        within = self.of_city(city)
+        one = replace(within, zone_edges=within.zone_edges.filter(chosen))
         majority = one.classified.select(*ON, ZONE, MAJORITY).distinct()
         fragments = one.graded_fragments.join(majority, [*ON, ZONE], "left")
         return fragments.join(one.located, [*ON, ZONE, AREA], "left")
@@ -144,11 +156,10 @@ class ZoneStudy:
     # Comparisons between grade groups
 
     def _compare(self, entities: DataFrame, measures: Sequence[str], city: str | None, comparison: str | None) -> DataFrame:
-        sums = sums_by_zone(self.located, entities, ON, ZONE, ENTITY, measures)
-        result = compare_groups(self.classified, sums, ON, ZONE, self.grade_col, measures)
-        if comparison is not None:
-            result = result.filter(F.col("comparison") == comparison)
-        return self._in_city(result, city)
+        one = self.of_city(city)
+        sums = sums_by_zone(one.located, self._in_city(entities, city), ON, ZONE, ENTITY, measures)
+        result = compare_groups(one.classified, sums, ON, ZONE, self.grade_col, measures)
+        return result if comparison is None else result.filter(F.col("comparison") == comparison)
 
     def compare_composition(self, city: str | None = None, comparison: str | None = None) -> DataFrame:
         """``(city, comparison, grade_group, category, value, paired)``: mean percentage of each category."""
@@ -170,23 +181,25 @@ class ZoneStudy:
     @cached_property
     def entity_spending(self) -> DataFrame:
         """Entities left-joined to spending on the numeric form of their id."""
-        keyed = self.entities.select(*ON, ENTITY, F.expr(f"try_cast({ENTITY} as bigint)").alias("id"))
+        keyed = self.entities.select(*ON, ENTITY, to_id(ENTITY).alias("id"))
         return keyed.join(self.spending.select(*ON, "id", "pp_total"), [*ON, "id"], "left").drop("id")
 
     def spend_join(self) -> DataFrame:
         """The combined table with each row's spending."""
-        keyed = self.combined().withColumn("id", F.expr(f"try_cast({ENTITY} as bigint)"))
+        keyed = self.combined().withColumn("id", to_id(ENTITY))
         return keyed.join(self.spending.select(*ON, "id", "pp_total"), [*ON, "id"], "left")
 
     # Model rows
 
-    def model_frame(self, flags: dict[str, str], required: Sequence[str] = ()) -> DataFrame:
+    def model_frame(self, flags: dict[str, str], required: Sequence[str] | None = None) -> DataFrame:
         """Majority level and one majority flag per category, on complete rows of the combined table.
 
         ``flags`` maps a flag name to the count column whose percentage of the category total is tested. Rows with
-        a NULL in a ``required`` column are dropped; text that is no number leaves a NULL flag, as the fit skips it.
+        a NULL in a ``required`` column (``None``: in any column of the entities) are dropped; text that is no number
+        leaves a NULL flag, as the fit skips it.
         """
-        columns = sorted({*flags.values(), self.category_total, *required})
+        asked = [c for c in self.entities.columns if c not in (*ON, ENTITY)] if required is None else required
+        columns = sorted({*flags.values(), self.category_total, *asked})
         rows = self.combined(*columns).dropna("any")
         return rows.select(
             *ON, ZONE, ENTITY, MAJORITY, ordinal(MAJORITY, GRADES).alias("majority_level"),
