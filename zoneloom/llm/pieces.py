@@ -191,25 +191,35 @@ def _model(path: str) -> tuple[PieceModel, UnitEncoder]:
     return model, UnitEncoder(encode_new, np.int32)
 
 
-def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """``(key, pieces)`` per row: piece ids of the whole text, one space put in front of it.
 
-    Null and empty texts have an empty array. Rows are handled one by one, so nothing is shuffled.
+    Null and empty texts have an empty array. Rows are handled one by one, so nothing is shuffled. With ``decoded`` the
+    same pass adds what ``decode_pieces`` makes of the ids.
     """
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _model(model)[1]
+        codec, encoder = _model(model)
         for batch in batches:
             for first, last in byte_chunks(batch.column(1), CHUNK_BYTES):
                 some = batch.slice(first, last - first)
                 ids, sizes = encoder.encode(some.column(1).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([some.column(0), lists], ["k", "pieces"])
+                columns = {"k": some.column(0), "pieces": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))}
+                yield pa.RecordBatch.from_pydict(columns | (_decoded(codec, ids, offsets) if decoded else {}))
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k {kind}, pieces array<int>").withColumnRenamed("k", key)
+    more = ", decoded string, pieces_crc32 bigint" if decoded else ""
+    return rows.mapInArrow(run, f"k {kind}, pieces array<int>{more}").withColumnRenamed("k", key)
+
+
+def _decoded(codec: PieceModel, ids: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
+    """Texts and checksums of the ids between consecutive offsets, which start at 0."""
+    texts = [x.decode(errors="replace") for x in codec.decode(ids, np.diff(offsets))]
+    view = memoryview(ids.astype("<u4").tobytes())
+    sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+    return {"decoded": pa.array(texts, pa.string()), "pieces_crc32": pa.array(sums, pa.int64())}
 
 
 def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces") -> DataFrame:
@@ -226,11 +236,7 @@ def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces") -> Dat
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy()
             ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            raw = codec.decode(ids, np.diff(offsets))
-            view, base = memoryview(ids.astype("<u4").tobytes()), int(offsets[0])
-            sums = [zlib.crc32(view[4 * (a - base) : 4 * (b - base)]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-            texts = pa.array([x.decode(errors="replace") for x in raw], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(sums, pa.int64())], ["row", "decoded", "pieces_crc32"])
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0)} | _decoded(codec, ids, offsets - offsets[0]))
 
     kind = rows.schema["row"].dataType.simpleString()
     made = rows.mapInArrow(run, f"row {kind}, decoded string, pieces_crc32 bigint")
