@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.llm.tables import byte_chunks
+from zoneloom.llm.tables import byte_chunks, free_name
 from zoneloom.session import cut_lineage
 
 WINDOW = 5  # tokens; items with fewer have one window of their own length
@@ -161,7 +161,8 @@ def contaminated(
     """``(key, item, n_windows, n_matched, coverage, consistency)`` for documents that hold a benchmark item.
 
     A pair is reported if the document has at least ``COVERAGE`` of the item's windows and the exchange of slot values
-    is one for one for at least ``CONSISTENCY`` of them. Null and empty texts hold nothing; items with fewer than
+    is one for one for at least ``CONSISTENCY`` of them; a value that the document repeats unchanged counts as such, and
+    units, which seldom change, are left out. Null and empty texts hold nothing; items with fewer than
     ``LEAST_WORDS`` plain tokens in every window are not looked for. Items with the same id are one item.
     """
     items = cut_lineage(_window_rows(benchmark, item, item_text, None).withColumnRenamed(item, "_item"))
@@ -185,9 +186,13 @@ def contaminated(
     zipped = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     exchanged = pairs.filter("size(slots) > 0").select("_key", "_item", F.explode(zipped).alias("z")).select(
         "_key", "_item", "z.i.kind", F.col("z.i.value").alias("item_value"), F.col("z.d.value").alias("value")
-    ).distinct()
-    per_value = exchanged.groupBy("_key", "_item", "kind", "item_value").agg(F.count(F.lit(1)).alias("n"))
-    consistent = per_value.groupBy("_key", "_item").agg(F.avg((F.col("n") == 1).cast("double")).alias("consistency"))
+    ).filter(F.col("kind") != UNIT).distinct()
+    per_value = exchanged.groupBy("_key", "_item", "kind", "item_value").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("value") == F.col("item_value")).alias("itself")
+    )
+    consistent = per_value.groupBy("_key", "_item").agg(
+        F.avg(((F.col("n") == 1) | F.col("itself")).cast("double")).alias("consistency")
+    )
     out = kept.alias("a").join(consistent.alias("b"), _same("_key") & _same("_item"), "left")
     return out.select(
         F.col("a._key").alias(key), F.col("a._item").alias(item), "n_windows", "n_matched", "coverage",
@@ -202,6 +207,7 @@ def _same(column: str) -> Column:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, all columns kept. Rows are told apart by key and text, so a null or
     repeated key does not take other documents along."""
-    marked = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("_row_key"), F.col(text).alias("_text"))
-    gone = cut_lineage(contaminated(marked, benchmark, "_row_key", "_text").select("_row_key").distinct())
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_row_key.k")) & (F.xxhash64(text) == F.col("_row_key.h")), "left_anti")
+    row = free_name(docs, "_row_key")
+    marked = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias(row), F.col(text).alias("_text"))
+    gone = cut_lineage(contaminated(marked, benchmark, row, "_text").select(row).distinct())
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(f"{row}.k")) & (F.xxhash64(text) == F.col(f"{row}.h")), "left_anti")

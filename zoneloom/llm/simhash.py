@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from zoneloom.llm.components import components
+from zoneloom.llm.tables import free_name
 from zoneloom.session import cut_lineage
 
 SEED = 42
@@ -174,16 +175,17 @@ def keep_one(
 
     Where several rows give that key, or the component has null keys alone, its least row in column order stays.
     """
+    other = free_name(docs, "_k")
     marked = cut_lineage(fingerprints(docs, key, text, shingle))
     groups = cut_lineage(components_of(marked, key, distance))
     keys = marked.join(groups, "fp").groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col(key).eqNullSafe(F.col("component_id"))).alias("first")
     )
-    gone = cut_lineage(keys.filter((F.col("n") > 1) | ~F.col("first") | F.col(key).isNull()).select(F.col(key).alias("_k"), "n"))
-    plain = docs.filter(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("_k"), "left_anti")
+    gone = cut_lineage(keys.filter((F.col("n") > 1) | ~F.col("first") | F.col(key).isNull()).select(F.col(key).alias(other), "n"))
+    plain = docs.filter(F.col(key).isNotNull()).join(gone.select(other), F.col(key) == F.col(other), "left_anti")
     # Keys of several rows are few: their rows get their fingerprint again, and each component keeps its least row.
-    several = gone.filter((F.col("n") > 1) | F.col("_k").isNull())
-    again = docs.join(several, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    several = gone.filter((F.col("n") > 1) | F.col(other).isNull())
+    again = docs.join(several.select(other), F.col(key).eqNullSafe(F.col(other)), "left_semi")
     rows = fingerprints(again.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_row", "_text", shingle)
     least = rows.join(groups, "fp").filter(F.col(f"_row.{key}").eqNullSafe(F.col("component_id")))
     return plain.union(least.groupBy("component").agg(F.min("_row").alias("_row")).select("_row.*"))

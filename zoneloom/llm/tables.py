@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] =
     return df.select(*columns) if columns else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def byte_chunks(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow string array that hold ``limit`` bytes at most, or one longer row."""
     first, size = 0, 0
