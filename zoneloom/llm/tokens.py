@@ -7,9 +7,11 @@ select on the planes give single tokens, counts and the places of a token withou
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20  # a shard is closed once it holds so many; documents are never divided
 CHUNK_BYTES = 2 << 20
 BLOCK_BITS = 512
+UNITS_KEPT = 1_500_000  # some 250 MB of a worker
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which starts contractions
 
 SHARD_SCHEMA = (
     "part int, shard int, n_tokens bigint, bits int, doc_ids array<{key}>, sizes array<bigint>, "
@@ -117,22 +121,64 @@ class WaveletMatrix:
         return i
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level tokenizers write bytes from 128: the printable ones of Latin-1 themselves, the
+    others, and the 67 before them, follow each other from 256."""
+    hidden = [*range(33), *range(127, 161), 173]
+    return {b: chr(256 + i) for i, b in enumerate(hidden) if b >= 128}
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> tuple[UnitEncoder, int]:
-    """A worker's encoder, kept between its tasks, and the bits of an id."""
+    """A worker's encoder, kept between its tasks, and the bits of an id. The tasks are the threads: it starts none."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     bits = max(tokenizer.get_vocab_size() - 1, END_ID).bit_length()
 
+    model, table, newline = tokenizer.model, _byte_letters(), tokenizer.encode("\n", add_special_tokens=False).ids
+    # A byte-level tokenizer takes letters, the stops behind them and a single line end apart before it joins anything.
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str(" é.\nA") if tokenizer.pre_tokenizer else []
+    apart = tokenizer.normalizer is None and [w for w, _ in pieces] == ["Ġ" + "é".encode().decode("latin-1").translate(table), ".", "Ċ", "A"]
+
+    @lru_cache(maxsize=10_000)
+    def stops(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def by_parts(space: bool, unit: str, words: dict[tuple[bool, str], list[int]]) -> list[int] | None:
+        """The ids of a unit of letters, stops and single line ends; ``None`` for any other."""
+        if space and unit.isascii() and unit.isalpha():
+            return [t.id for t in model.tokenize("Ġ" + unit)]
+        ids: list[int] = []
+        for n, line in enumerate(unit.split("\n")):
+            word = line.rstrip(STOPS)
+            first = space and not n
+            if word and not (word.isalpha() and (word.isascii() or max(word) < "\u0250")) or not line:
+                return None
+            if n:
+                ids += newline
+            if word:
+                if (first, word) not in words:
+                    letters = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                    words[first, word] = [t.id for t in model.tokenize("Ġ" + letters if first else letters)]
+                ids += words[first, word]
+            if len(line) > len(word):
+                ids += stops(line[len(word) :] if word or not first else " " + line)
+        return ids
+
     def encode_new(units: Sequence) -> tuple[np.ndarray, np.ndarray]:
-        texts = [u[0] if isinstance(u, tuple) else " " + u for u in units]
-        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words: dict[tuple[bool, str], list[int]] = {}
+        found = [(by_parts(False, u[0], words) if isinstance(u, tuple) else by_parts(True, u, words)) if apart else None for u in units]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        texts = [units[i][0] if isinstance(units[i], tuple) else " " + units[i] for i in rest]
+        for i, e in zip(rest, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
 
-    return UnitEncoder(encode_new, np.uint16 if bits <= 16 else np.uint32), bits
+    return UnitEncoder(encode_new, np.uint16 if bits <= 16 else np.uint32, UNITS_KEPT), bits
 
 
 def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,20 +6,26 @@ the two sides of such a cut, so a text's ids are its units' ids in a row.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Hashable, Sequence
+from itertools import repeat
 
 import numpy as np
 
-UNITS_KEPT = 400_000  # memory of a worker; beyond it the units are encoded anew, with the same result
+UNITS_KEPT = 400_000  # of a worker; beyond so many the units are encoded anew, with the same result
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+# Every white space that can stand before a space; other texts are cut at their spaces without a search by pattern.
+_ASCII_SPACES = [c + " " for c in map(chr, range(128)) if c.isspace()]
+_OTHER_SPACES = re.compile(r"[\x80-\U0010ffff] ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def cut(text: str) -> list[Hashable]:
     """The text's units: a one-tuple for the first, then each without the one space it starts with."""
-    if text[:1] != " " and not _SPACE_AFTER_SPACE.search(text):
+    if text[:1] != " " and not any(s in text for s in _ASCII_SPACES) and (
+        text.isascii() or not any(m[0][0].isspace() for m in _OTHER_SPACES.finditer(text))
+    ):
         parts: list[Hashable] = text.split(" ")  # type: ignore[assignment]
     else:
         first, *rest = _CUT.split(text)
@@ -31,8 +37,8 @@ def cut(text: str) -> list[Hashable]:
 class UnitEncoder:
     """``encode_new`` gives, for a list of units, their ids in a row and the number of ids of each."""
 
-    def __init__(self, encode_new: Callable[[Sequence[Hashable]], tuple[np.ndarray, np.ndarray]], dtype: type):
-        self._encode_new, self._dtype = encode_new, dtype
+    def __init__(self, encode_new: Callable[[Sequence[Hashable]], tuple[np.ndarray, np.ndarray]], dtype: type, kept: int = UNITS_KEPT):
+        self._encode_new, self._dtype, self._kept = encode_new, dtype, kept
         self._forget()
 
     def _forget(self) -> None:
@@ -42,7 +48,7 @@ class UnitEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids per text; an empty text has none."""
-        if len(self._numbers) > UNITS_KEPT:
+        if len(self._numbers) > self._kept:
             self._forget()
         units: list[Hashable] = []
         per_text = np.zeros(len(texts), np.int64)
@@ -51,15 +57,21 @@ class UnitEncoder:
                 parts = cut(text)
                 units += parts
                 per_text[i] = len(parts)
-        new = list(set(units).difference(self._numbers))
-        if new:
-            ids, sizes = self._encode_new(new)
+        numbers = np.fromiter(map(self._numbers.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(units[i] for i in missing))
+            gc.disable()  # hundreds of thousands of short lists, none of them in a cycle
+            try:
+                ids, sizes = self._encode_new(new)
+            finally:
+                gc.enable()
             starts = np.cumsum(sizes) - sizes + len(self._ids)
             self._numbers.update(zip(new, range(len(self._numbers), len(self._numbers) + len(new))))
             self._ids = np.concatenate((self._ids, ids.astype(self._dtype)))
             self._starts = np.concatenate((self._starts, starts))
             self._sizes = np.concatenate((self._sizes, sizes))
-        numbers = np.fromiter(map(self._numbers.__getitem__, units), np.int64, len(units))
+            numbers[missing] = [self._numbers[units[i]] for i in missing]
         sizes = self._sizes[numbers]
         ends = np.cumsum(sizes)
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
