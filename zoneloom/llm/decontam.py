@@ -22,7 +22,7 @@ LEAST_WORDS = 3  # tokens of a window that are not slots; windows with fewer say
 COVERAGE = 0.5  # share of an item's windows that a document has to hold
 CONSISTENCY = 0.8  # least share of an item's slot values that stand for one value each
 BLOCK_WINDOWS = 1 << 20  # benchmark windows that go to the tasks at once; a larger benchmark takes several passes
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec second seconds min minute minutes h hour hours day days week weeks month months "
@@ -46,7 +46,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least ``n``."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n, CHUNK_BYTES + (1 << 14))
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
