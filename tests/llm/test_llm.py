@@ -203,6 +203,21 @@ def test_benchmark_items_with_other_values(spark):
     assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {2, 4, 5, None}
 
 
+def test_each_place_of_an_item_is_judged_on_its_own(spark):
+    walk = "How far does {0} walk if {0} walks {1} km each day for {2} days and then rests at home?"
+    pens = "The shop packs red pens for {} dollars each and blue pens packs red pens for {} dollars each on every market day."
+    items = spark.createDataFrame([(1, walk.format("Anna", 12, 7)), (2, pens.format(5, 8))], "item_id bigint, text string")
+    sheet = "\n".join("So: " + walk.format(n, a, b) for n, a, b in (("Peter", 9, 31), ("Robert", 4, 5), ("Maria", 77, 2)))
+    stray = " ".join(f"Then how far does {n} walk if it rains." for n in ("Ole", "Kim", "Ada")) + " x y z" * 300
+    docs = spark.createDataFrame([
+        (1, sheet), (2, pens.format(41, 6)), (3, f"{stray} Now how far does {walk[17:].format('Peter', 9, 31)} {stray}"), (4, walk.replace("{0} walks", "Robert walks").format("Peter", 9, 31)),
+        (None, walk.format("Eva", 3, 4)), (None, walk.format("Tom", 5, 6)), (5, stray),
+    ], "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.consistency for r in contaminated(docs, items).collect()}
+    assert {(1, 1), (2, 2), (3, 1), (None, 1)} <= set(found) and all(d not in (4, 5) for d, _ in found)
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {4, 5}
+
+
 LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

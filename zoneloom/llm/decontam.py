@@ -21,6 +21,7 @@ WINDOW = 5  # tokens; items with fewer have one window of their own length
 LEAST_WORDS = 3  # tokens of a window that are not slots; windows with fewer say nothing
 COVERAGE = 0.5  # share of an item's windows that a document has to hold
 CONSISTENCY = 0.8  # least share of an item's slot values that stand for one value each
+DRIFT = 16  # tokens that an occurrence may be shifted along its length, at most; a quarter of the item's windows if fewer
 BLOCK_WINDOWS = 1 << 20  # benchmark windows that go to the tasks at once; a larger benchmark takes several passes
 CHUNK_BYTES = 1 << 19
 
@@ -124,12 +125,13 @@ class Templates:
         ]
 
 
-ROW = "size int, hash bigint, place bigint, slots array<struct<at: int, kind: int, value: bigint>>"
+ROW = "row bigint, size int, hash bigint, place bigint, slots array<struct<at: int, kind: int, value: bigint>>"
 
 
 def _window_rows(df: DataFrame, key: str, text: str, wanted: dict[int, np.ndarray] | None) -> DataFrame:
-    """``(key, size, hash, place, slots)`` of the texts' windows: those in ``wanted``, or all an item stands for."""
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    """``(key, row, size, hash, place, slots)`` of the texts' windows: those in ``wanted``, or all an item stands for.
+    ``row`` tells texts with one key apart."""
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(text).alias("row"))
     ddl = f"k {rows.schema['k'].dataType.simpleString()}, {ROW}"
     slot_type = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("value", pa.int64())]))
 
@@ -148,13 +150,86 @@ def _window_rows(df: DataFrame, key: str, text: str, wanted: dict[int, np.ndarra
                         hit = np.minimum(made.count[made.doc[first]], WINDOW) == size
                     first, hashes = first[hit], hashes[hit]
                     yield pa.RecordBatch.from_arrays([
-                        some.column(0).take(pa.array(made.doc[first])), pa.array(np.full(len(first), size, np.int32)), pa.array(hashes),
+                        *[some.column(c).take(pa.array(made.doc[first])) for c in (0, 2)], pa.array(np.full(len(first), size, np.int32)), pa.array(hashes),
                         pa.array(made.place[first]), pa.array([made.slots(int(f), size) for f in first], slot_type),
-                    ], ["k", "size", "hash", "place", "slots"])
+                    ], ["k", "row", "size", "hash", "place", "slots"])
 
     return rows.mapInArrow(run, ddl).withColumnRenamed("k", key)
 
 
+def _best_occurrence(hits: dict[str, np.ndarray], slots: list[list[tuple]], n_windows: int) -> tuple[int, float] | None:
+    """``(n_matched, consistency)`` of the best place where a text holds an item, ``None`` if there is none.
+
+    Hits are aligned by document place minus item place. Around each such shift every item window takes the nearest
+    hit, and each document window serves one item window.
+    """
+    drift = min(DRIFT, max(1, n_windows // 4))
+    shift = hits["place"] - hits["item_place"]
+    order = np.argsort(shift, kind="stable")
+    ordered = shift[order]
+    anchors = np.unique(ordered)
+    lows, highs = np.searchsorted(ordered, anchors - drift), np.searchsorted(ordered, anchors + drift, side="right")
+    best = None
+    for anchor, low, high in zip(anchors, lows, highs):
+        if high - low < COVERAGE * n_windows:
+            continue
+        band = order[low:high]
+        for side, other in (("item_place", "place"), ("place", "item_place")):
+            band = band[np.lexsort((hits[other][band], np.abs(shift[band] - anchor), hits[side][band]))]
+            band = band[np.concatenate(([True], hits[side][band][1:] != hits[side][band][:-1]))]
+        matched = len(np.unique(hits["hash"][band]))
+        if matched < COVERAGE * n_windows:
+            continue
+        values: dict[tuple, set] = {}
+        for kind, item_value, value in (x for i in band for x in slots[i]):
+            if kind != UNIT:
+                values.setdefault((kind, item_value), set()).add(value)
+        one = [len(v) == 1 or k[1] in v for k, v in values.items()]
+        consistency = sum(one) / len(one) if one else 1.0
+        if consistency >= CONSISTENCY and (best is None or (matched, consistency) > best):
+            best = matched, consistency
+            if best == (n_windows, 1.0):
+                break
+    return best
+
+
+def _occurrences(pairs: DataFrame) -> DataFrame:
+    """``(_key, _item, n_matched, consistency)`` of the texts that hold an item in one place, from the hits of each text
+    in each item ``(_key, row, _item, item_row, hash, place, slots, item_place, item_slots, n_windows)``."""
+    ddl = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("_key", "_item")) + ", n_matched bigint, consistency double"
+    grouped = pairs.withColumn("_group", F.xxhash64("_key", "row", "_item", "item_row")).repartition("_group").sortWithinPartitions("_group")
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        hits = {c: rows[c].to_numpy() for c in ("place", "item_place", "hash")}
+        slots = [[(i["kind"], i["value"], d["value"]) for i, d in zip(a, b)] for a, b in zip(rows["item_slots"].to_pylist(), rows["slots"].to_pylist())]
+        best = _best_occurrence(hits, slots, rows["n_windows"][0].as_py())
+        if best is None:
+            return None
+        first = rows.slice(0, 1)
+        columns = [first[c].combine_chunks() for c in ("_key", "_item")]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([best[0]], pa.int64()), pa.array([best[1]])], ["_key", "_item", "n_matched", "consistency"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group = None
+        for batch in batches:
+            groups = batch.column(batch.schema.get_field_index("_group")).to_numpy()
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(groups)), bool), groups[1:] != groups[:-1])))
+            for a, b in zip(starts, np.append(starts[1:], len(groups))):
+                if held and groups[a] != group:
+                    if (made := solve(held)) is not None:
+                        yield made
+                    held = []
+                group = groups[a]
+                held.append(batch.slice(a, b - a))
+        if held and (made := solve(held)) is not None:
+            yield made
+
+    return grouped.mapInArrow(run, ddl)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -162,8 +237,10 @@ def contaminated(
 
     A pair is reported if the document has at least ``COVERAGE`` of the item's windows and the exchange of slot values
     is one for one for at least ``CONSISTENCY`` of them; a value that the document repeats unchanged counts as such, and
-    units, which seldom change, are left out. Null and empty texts hold nothing; items with fewer than
-    ``LEAST_WORDS`` plain tokens in every window are not looked for. Items with the same id are one item.
+    units, which seldom change, are left out. This is judged over the document and, where that fails, over each place
+    in which the item's windows stand in line, so variants of one item or stray windows do not hide a true one; counts
+    are then those of the best place. Null and empty texts hold nothing; items with fewer than ``LEAST_WORDS`` plain
+    tokens in every window are not looked for. Items with the same id are one item.
     """
     items = cut_lineage(_window_rows(benchmark, item, item_text, None).withColumnRenamed(item, "_item"))
     totals = items.groupBy("_item").agg(F.countDistinct("size", "hash").alias("n_windows"))
@@ -177,12 +254,13 @@ def contaminated(
         found = _window_rows(docs, key, text, wanted)
         hits = found if hits is None else hits.union(found)
     hits = cut_lineage(hits.withColumnRenamed(key, "_key"))
-    pairs = hits.join(items.select("_item", "size", "hash", F.col("slots").alias("item_slots")), ["size", "hash"])
-    seen = pairs.groupBy("_key", "_item", "size", "hash").agg(F.count(F.lit(1)).alias("times"))
-    matched = seen.groupBy("_key", "_item").agg(F.count(F.lit(1)).alias("n_matched"))
-    kept = matched.alias("a").join(totals.alias("b"), _same("_item")).select(
+    windows = items.select("_item", "size", "hash").distinct()
+    matched = hits.select("_key", "size", "hash").distinct().join(windows, ["size", "hash"]).groupBy("_key", "_item").agg(F.count(F.lit(1)).alias("n_matched"))
+    kept = cut_lineage(matched.alias("a").join(totals.alias("b"), _same("_item")).select(
         "_key", "a._item", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage")
-    ).filter(F.col("coverage") >= COVERAGE)
+    ).filter(F.col("coverage") >= COVERAGE))
+    occurring = items.select("_item", F.col("row").alias("item_row"), "size", "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    pairs = hits.join(occurring, ["size", "hash"])
     zipped = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     exchanged = pairs.filter("size(slots) > 0").select("_key", "_item", F.explode(zipped).alias("z")).select(
         "_key", "_item", "z.i.kind", F.col("z.i.value").alias("item_value"), F.col("z.d.value").alias("value")
@@ -193,11 +271,19 @@ def contaminated(
     consistent = per_value.groupBy("_key", "_item").agg(
         F.avg(((F.col("n") == 1) | F.col("itself")).cast("double")).alias("consistency")
     )
-    out = kept.alias("a").join(consistent.alias("b"), _same("_key") & _same("_item"), "left")
-    return out.select(
-        F.col("a._key").alias(key), F.col("a._item").alias(item), "n_windows", "n_matched", "coverage",
-        F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
-    ).filter(F.col("consistency") >= CONSISTENCY)
+    judged = cut_lineage(kept.alias("a").join(consistent.alias("b"), _same("_key") & _same("_item"), "left").select(
+        "a._key", "a._item", "n_windows", "n_matched", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
+    ))
+    whole = judged.filter(F.col("consistency") >= CONSISTENCY)
+    open_pairs = judged.filter(F.col("consistency") < CONSISTENCY).select("_key", "_item", "n_windows")
+    placed = pairs.alias("a").join(open_pairs.alias("b"), _same("_key") & _same("_item")).select(
+        "a._key", "row", "a._item", "item_row", "hash", "place", "slots", "item_place", "item_slots", "n_windows"
+    )
+    best = _occurrences(placed).groupBy("_key", "_item").agg(F.max(F.struct("n_matched", "consistency")).alias("best"))
+    apart = best.alias("a").join(open_pairs.alias("b"), _same("_key") & _same("_item")).select(
+        "a._key", "a._item", "n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("coverage"), "best.consistency"
+    )
+    return whole.union(apart).withColumnsRenamed({"_key": key, "_item": item})
 
 
 def _same(column: str) -> Column:
