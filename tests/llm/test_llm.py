@@ -218,6 +218,19 @@ def test_each_place_of_an_item_is_judged_on_its_own(spark):
     assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {4, 5}
 
 
+def test_items_that_templates_say_little_of(spark):
+    items = spark.createDataFrame([
+        (1, "12 + 7 = 19 and 4 * 8 = 32 and 5 - 9 = 61"), (2, "Xylophone"), (3, "blue quagga"), (4, "小明有五个苹果，他又买了三个苹果，请问小明现在一共有多少个苹果？"),
+        (5, "Name list: Anna Berg, Ole Dahl, Kim Falk, Ada Holm, Eva Lind"), (6, "小明有12个苹果和34个桃子，请问小明现在一共有多少个水果？"), (7, "3 4 5"),
+    ], "item_id bigint, text string")
+    docs = spark.createDataFrame([
+        (1, "Work out 12 + 7 = 19 and 4 * 8 = 32 and 5 - 9 = 61 now."), (2, "A xylophone, please."), (3, "The blue, QUAGGA ran."),
+        (4, "题目：小明有五个苹果，他又买了三个苹果，请问小明现在一共有多少个苹果？谢谢"), (5, "Here: name list: Anna Berg, Ole Dahl, Kim Falk, Ada Holm, Eva Lind."),
+        (6, "小明有56个苹果和78个桃子，请问小明现在一共有多少个水果？"), (7, "Out 22 + 3 = 25 and 6 * 2 = 12 and 8 - 1 = 7 now."), (8, "blue and quagga, 3 4 6 5"), (9, "小红没有苹果"),
+    ], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(i, i) for i in range(1, 7)]
+
+
 LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -3,10 +3,14 @@
 Texts become tokens (ASCII case and punctuation dropped); numbers, units after numbers, and names (capitalised inside a
 sentence) become typed slots. Windows of tokens are hashed with slots in place of values, so a question with other
 numbers or names still matches; whether the values were exchanged one for one is checked afterwards.
+
+Items that such windows say too little of are looked for as they stand: with values in place of slots, or, in scripts
+written without spaces, by windows of characters.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +23,8 @@ from zoneloom.session import cut_lineage
 
 WINDOW = 5  # tokens; items with fewer have one window of their own length
 LEAST_WORDS = 3  # tokens of a window that are not slots; windows with fewer say nothing
+WHOLE = 8  # tokens of an item that is looked for as it stands, up to which it is one window
+CHARACTERS, WHOLE_CHARACTERS = 10, 16  # the same two sizes for characters of scripts without spaces
 COVERAGE = 0.5  # share of an item's windows that a document has to hold
 CONSISTENCY = 0.8  # least share of an item's slot values that stand for one value each
 DRIFT = 16  # tokens that an occurrence may be shifted along its length, at most; a quarter of the item's windows if fewer
@@ -31,6 +37,10 @@ UNITS = (
     "metre metres inch inches foot feet yard yards mile miles gram grams liter liters litre litres degree degrees"
 )
 NUMBER, UNIT, NAME = 1, 2, 3
+# How a window is hashed; a window's size carries it, so hashes of one way never meet those of another.
+TEMPLATE, VERBATIM, UNSPACED = 0, 32, 64
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u3096\u309d-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_WIDE_STOPS = re.compile("[\u3000-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,13 +119,16 @@ class Templates:
         self.place = np.arange(n) - np.searchsorted(self.doc, self.doc, side="left")  # within the text
         self.count = np.bincount(self.doc, minlength=len(texts))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of the windows that lie in one text and have words enough, and the windows' hashes."""
+    def windows(self, size: int, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the windows that lie in one text and have words enough, and the windows' hashes; verbatim
+        windows need no words, and their values are hashed."""
         first = np.arange(max(0, len(self.doc) - size + 1))
         slots = np.concatenate(([0], np.cumsum(self.kind > 0)))
-        good = (self.doc[first] == self.doc[first + size - 1]) & (slots[first + size] - slots[first] <= size - LEAST_WORDS)
+        good = self.doc[first] == self.doc[first + size - 1]
+        if not verbatim:
+            good &= slots[first + size] - slots[first] <= size - LEAST_WORDS
         first = first[good]
-        shown = np.where(self.kind > 0, self.kind.astype(np.uint64), self.value)
+        shown = self.value if verbatim else np.where(self.kind > 0, self.kind.astype(np.uint64), self.value)
         return first, _range_hashes(shown, first, first + size, _STEP).view(np.int64)
 
     def slots(self, first: int, size: int) -> list[dict]:
@@ -125,6 +138,63 @@ class Templates:
         ]
 
 
+def _spaced(text: str) -> str:
+    """The text with every character of a script without spaces as a word of its own."""
+    return _UNSPACED.sub(r" \g<0> ", _WIDE_STOPS.sub(" ", text))
+
+
+def _enough(made: Templates, size: int, whole: int) -> np.ndarray:
+    """Texts of which template windows keep half or more of the places."""
+    kept = np.zeros(len(made.count), np.int64)
+    for n in range(LEAST_WORDS, whole + 1):
+        first, _ = made.windows(n)
+        of_size = _size_of(made.count, size, whole)[made.doc[first]] == n
+        np.add.at(kept, made.doc[first[of_size]], 1)
+    return (2 * kept >= made.count - _size_of(made.count, size, whole) + 1) & (kept > 0)
+
+
+def _size_of(count: np.ndarray, size: int, whole: int) -> np.ndarray:
+    """Tokens of a text's windows: all of them up to ``whole``."""
+    return np.where(count <= whole, count, size)
+
+
+def _item_windows(texts: list[str]) -> Iterator[tuple[int, Templates, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(size, templates, rows of the texts, first tokens, hashes)`` of all windows that the items stand for."""
+    plain, spaced = (Templates([t.encode() for t in ts]) for ts in (texts, [_spaced(t) for t in texts]))
+    rows = np.arange(len(texts))
+    unspaced = np.fromiter((len(_UNSPACED.findall(t)) for t in texts), np.int64, len(texts)) > plain.count
+    unspaced &= _enough(spaced, CHARACTERS, WHOLE_CHARACTERS)
+    verbatim = ~unspaced & ~_enough(plain, WINDOW, WINDOW)
+    for made, kind, least, size, whole, wanted in (
+        (plain, TEMPLATE, LEAST_WORDS, WINDOW, WINDOW, rows >= 0), (plain, VERBATIM, 1, WINDOW, WHOLE, verbatim),
+        (spaced, UNSPACED, LEAST_WORDS, CHARACTERS, WHOLE_CHARACTERS, unspaced),
+    ):
+        for n in range(least, whole + 1):
+            first, hashes = made.windows(n, kind == VERBATIM)
+            hit = (_size_of(made.count, size, whole)[made.doc[first]] == n) & wanted[made.doc[first]]
+            yield kind + n, made, rows, first[hit], hashes[hit]
+
+
+def _text_windows(texts: list[str], wanted: dict[int, np.ndarray]) -> Iterator[tuple[int, Templates, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for the windows of any texts that are wanted; a verbatim one counts once in a text."""
+    made: dict[int, tuple[Templates, np.ndarray]] = {}
+    for code, ordered in wanted.items():
+        kind, size = code & ~31, code & 31
+        if (kind == UNSPACED) not in made:
+            rows = np.array([i for i, t in enumerate(texts) if kind != UNSPACED or not t.isascii() and _UNSPACED.search(t)], np.int64)
+            made[kind == UNSPACED] = Templates([(_spaced(texts[i]) if kind == UNSPACED else texts[i]).encode() for i in rows]), rows
+        tokens, rows = made[kind == UNSPACED]
+        first, hashes = tokens.windows(size, kind == VERBATIM)
+        hit = _member(hashes, ordered)
+        first, hashes = first[hit], hashes[hit]
+        if kind == VERBATIM:
+            order = np.lexsort((hashes, tokens.doc[first]))
+            first, hashes = first[order], hashes[order]
+            new = np.concatenate((np.ones(min(1, len(first)), bool), (hashes[1:] != hashes[:-1]) | (tokens.doc[first][1:] != tokens.doc[first][:-1])))
+            first, hashes = first[new], hashes[new]
+        yield code, tokens, rows, first, hashes
+
+
 ROW = "row bigint, size int, hash bigint, place bigint, slots array<struct<at: int, kind: int, value: bigint>>"
 
 
@@ -139,19 +209,13 @@ def _window_rows(df: DataFrame, key: str, text: str, wanted: dict[int, np.ndarra
         for batch in batches:
             for a, b in byte_chunks(batch.column(1), CHUNK_BYTES):
                 some = batch.slice(a, b - a)
-                made = Templates([t.as_py().encode() for t in some.column(1)])
-                for size in range(LEAST_WORDS, WINDOW + 1):
-                    if wanted is not None and size not in wanted:
-                        continue
-                    first, hashes = made.windows(size)
-                    if wanted is not None:
-                        hit = _member(hashes, wanted[size])
-                    else:
-                        hit = np.minimum(made.count[made.doc[first]], WINDOW) == size
-                    first, hashes = first[hit], hashes[hit]
+                texts = some.column(1).to_pylist()
+                for size, made, at, first, hashes in _item_windows(texts) if wanted is None else _text_windows(texts, wanted):
+                    row = pa.array(at[made.doc[first]])
+                    slots = [made.slots(int(f), size & 31) if size < VERBATIM or size >= UNSPACED else [] for f in first]
                     yield pa.RecordBatch.from_arrays([
-                        *[some.column(c).take(pa.array(made.doc[first])) for c in (0, 2)], pa.array(np.full(len(first), size, np.int32)), pa.array(hashes),
-                        pa.array(made.place[first]), pa.array([made.slots(int(f), size) for f in first], slot_type),
+                        *[some.column(c).take(row) for c in (0, 2)], pa.array(np.full(len(first), size, np.int32)), pa.array(hashes),
+                        pa.array(made.place[first]), pa.array(slots, slot_type),
                     ], ["k", "row", "size", "hash", "place", "slots"])
 
     return rows.mapInArrow(run, ddl).withColumnRenamed("k", key)
@@ -239,10 +303,15 @@ def contaminated(
     is one for one for at least ``CONSISTENCY`` of them; a value that the document repeats unchanged counts as such, and
     units, which seldom change, are left out. This is judged over the document and, where that fails, over each place
     in which the item's windows stand in line, so variants of one item or stray windows do not hide a true one; counts
-    are then those of the best place. Null and empty texts hold nothing; items with fewer than ``LEAST_WORDS`` plain
-    tokens in every window are not looked for. Items with the same id are one item.
+    are then those of the best place. An item of which less than half of the windows have ``LEAST_WORDS`` plain tokens
+    is also looked for as it stands: as one run of tokens if it has up to ``WHOLE``, so that one of a single word is held
+    by every document with the word, else by windows of ``WINDOW``. One in a script without spaces is looked for by
+    windows of characters. ``n_windows`` counts the windows of the way that found it, templates first. Null and empty
+    texts hold nothing. Items with the same id are one item.
     """
-    items = cut_lineage(_window_rows(benchmark, item, item_text, None).withColumnRenamed(item, "_item"))
+    found = _window_rows(benchmark, item, item_text, None)
+    # From here on an item is its id and the way in which it is looked for.
+    items = cut_lineage(found.withColumn("_item", F.struct(F.col(item).alias("id"), F.expr("size div 32").alias("way"))).drop(item))
     totals = items.groupBy("_item").agg(F.countDistinct("size", "hash").alias("n_windows"))
     n = items.count()
     passes = max(1, -(-n // BLOCK_WINDOWS))
@@ -283,7 +352,9 @@ def contaminated(
     apart = best.alias("a").join(open_pairs.alias("b"), _same("_key") & _same("_item")).select(
         "a._key", "a._item", "n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("coverage"), "best.consistency"
     )
-    return whole.union(apart).withColumnsRenamed({"_key": key, "_item": item})
+    every = whole.union(apart).withColumn("_id", F.col("_item.id"))
+    first = F.min_by(F.struct("n_windows", "n_matched", "coverage", "consistency"), "_item.way").alias("found")
+    return every.groupBy("_key", "_id").agg(first).select(F.col("_key").alias(key), F.col("_id").alias(item), "found.*")
 
 
 def _same(column: str) -> Column:
