@@ -159,6 +159,19 @@ def test_divergent_text_is_not_kept(spark):
     assert kept == {i: True for i in range(40)} | {100: False}
 
 
+def test_each_language_has_its_own_reference(spark):
+    rng = random.Random(5)
+    common = {"en": "the of and to in a is".split(), "pl": "nie i w na z do się".split(), "de": "der die und in den von zu".split()}
+
+    def made(lang, n=150):
+        return " ".join(rng.choice([*common[lang], f"w{rng.randrange(50)}e", f"v{rng.randrange(50)}o"]) for _ in range(n))
+    texts = [(i, made(lang), lang) for i, lang in enumerate(["en", "de"] * 10 + ["pl"] * 30)] + [(200 + i, made("de"), None) for i in range(30)]
+    odd = [(300 + i, " ".join(f"{rng.choice('ABCDEF')}{rng.randrange(10**6)}$$$%" for _ in range(150)), lang) for i, lang in enumerate(("pl", None))]
+    odd += [(302, made("en"), "pl"), (303, made("pl"), "en")]
+    kept = {r.doc_id: r.kept for r in apply_rules(spark.createDataFrame(texts + odd, "doc_id bigint, text string, lang string")).collect()}
+    assert kept == {d: d < 300 for d, *_ in texts + odd}
+
+
 def test_repeated_strings(spark):
     rng = random.Random(2)
     base = ["".join(rng.choice("ab cé") for _ in range(n)) for n in (400, 150, 99, 100, 101, 2000)]

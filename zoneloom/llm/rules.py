@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zoneloom.session import cut_lineage
@@ -26,7 +26,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 CHARACTER_CLASSES = {"upper": "A-Z", "digits": "0-9", "symbols": SYMBOLS, "stops": ".,;:!?", "other": r"\x{80}-\x{10FFFF}"}
 
-# Frequent words of the languages; a language without a list gets the first.
+LANGUAGES = 10_000  # with a reference, up to which the references are sent to every task
+
+# Frequent words of the languages; a language without a list gets that of its own documents.
 COMMON_WORDS = {
     "en": "the of and to in a is that for was on are".split(),
     "de": "der die und in den von zu das mit sich des auf".split(),
@@ -76,16 +78,44 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > REPEATED_PERCENT * n_words)
+
+
+def own_common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, list)``: the most frequent words of each language without a fixed list, in the documents that make its
+    reference. As many as the fixed lists have, ``""`` where a language has fewer."""
+    size = len(next(iter(COMMON_WORDS.values())))
+
+    def judged(words: Column) -> Column:
+        good = (F.size(words) >= DIVERGENCE_WORDS) & ~base_failed(F.size(words), repeated_words(words))
+        return F.when(good, F.transform(words, F.lower)).otherwise(F.array().cast("array<string>"))
+
+    rows = docs.filter(~F.col(lang).isin(list(COMMON_WORDS))).select(F.col(lang).alias("lang"), F.explode(let(words_of(F.col(text)), judged)).alias("word"))
+    counts = rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= size)
+    lists = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word")))["word"].alias("list"))
+    return lists.select("lang", F.concat("list", F.array_repeat(F.lit(""), F.lit(size) - F.size("list"))).alias("list"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= LANGUAGES else df
+
+
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts per row, from its whole text; a null text has none. One pass, nothing is shuffled."""
-    known = F.when(F.col(lang).isin(list(COMMON_WORDS)), F.col(lang)).otherwise(next(iter(COMMON_WORDS)))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), known.alias("lang"))
+    """Counts per row, from its whole text; a null text has none. ``common`` is null for rows without a language."""
+    own = _few(cut_lineage(own_common_words(docs, text, lang)))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("lang")).join(own, "lang", "left")
     every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     lists = F.create_map(*[c for code, ws in COMMON_WORDS.items() for c in (F.lit(code), F.array(*map(F.lit, ws)))])
 
     def common(words: Column, lang: Column) -> Column:
-        hits = F.transform(F.filter(words, lambda w: F.lower(w).isin(every)), F.lower)
-        return let(hits, lambda hs: F.transform(lists[lang], lambda c: F.size(F.filter(hs, lambda h: h == c))))
+        def counts(hits: Column, of: Column) -> Column:
+            return let(hits, lambda hs: F.transform(of, lambda c: F.size(F.filter(hs, lambda h: h == c))))
+
+        fixed = F.transform(F.filter(words, lambda w: F.lower(w).isin(every)), F.lower)
+        own = F.filter(F.transform(words, F.lower), lambda w: F.array_contains(F.col("list"), w))
+        return F.when(lang.isin(list(COMMON_WORDS)), counts(fixed, lists[lang])).when(F.col("list").isNotNull(), counts(own, F.col("list")))
 
     def of_words(words: Column) -> Column:
         return F.struct(
@@ -132,23 +162,28 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """Counts and verdict per row: ``base_failed`` by length and repetition, ``kept`` also by divergence.
 
     Documents of at least ``DIVERGENCE_WORDS`` words that pass the base rules make their language's references and are
-    held against them. Unknown and null languages count as the first one. Where a language has no such document,
-    there is no reference and nothing diverges.
+    held against them. A language without a fixed list of common words has that of these documents. Rows with a null
+    language make no reference; they diverge if their characters are far from every language's, and are not judged by
+    words. Where a language has no such document, there is no reference and nothing diverges.
     """
     characters, words = len(CHARACTER_CLASSES) + 2, len(next(iter(COMMON_WORDS.values()))) + 1
     spaces = F.col("n_chars") - F.col("word_chars")
     measured = cut_lineage(measure(docs, key, text, lang).select(
         F.col(key).alias("_k"), "lang", "n_words", "word_chars", F.col("symbols").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
+        base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"),
         _shares([*[F.col(c) for c in CHARACTER_CLASSES], spaces], F.col("n_chars")).alias("c"),
-        _shares([F.col("common")[i] for i in range(words - 1)], F.col("n_words")).alias("d"),
+        F.when(F.col("common").isNotNull(), _shares([F.col("common")[i] for i in range(words - 1)], F.col("n_words"))).alias("d"),
     ))
     judged = (F.col("n_words") >= DIVERGENCE_WORDS) & ~F.col("base_failed")
-    medians = measured.filter(judged).groupBy("lang").agg(*_reference(measured, "c", characters), *_reference(measured, "d", words))
-    # One row per language of the fixed lists.
-    references = medians.select("lang", _as_shares("c", characters).alias("c_ref"), _as_shares("d", words).alias("d_ref"))
-    held = measured.join(F.broadcast(references), "lang", "left")
-    far = (_divergence(F.col("c"), F.col("c_ref")) > CHARACTER_LIMIT) | (_divergence(F.col("d"), F.col("d_ref")) > WORD_LIMIT)
+    medians = measured.filter(judged & F.col("lang").isNotNull()).groupBy("lang").agg(*_reference(measured, "c", characters), *_reference(measured, "d", words))
+    # One row per language, and one with the characters of all of them for rows without.
+    of_languages = cut_lineage(medians.select("lang", F.array(_as_shares("c", characters)).alias("c_refs"), _as_shares("d", words).alias("d_ref")))
+    of_all = of_languages.agg(F.collect_list(F.col("c_refs")[0]).alias("c_refs")).select(
+        F.lit(None).cast(of_languages.schema["lang"].dataType).alias("lang"), "c_refs", F.lit(None).cast("array<double>").alias("d_ref")
+    )
+    held = measured.alias("a").join(_few(of_languages.union(of_all)).alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left")
+    far_characters = (F.size("c_refs") > 0) & F.forall("c_refs", lambda ref: _divergence(F.col("c"), ref) > CHARACTER_LIMIT)
+    far = far_characters | (_divergence(F.col("d"), F.col("d_ref")) > WORD_LIMIT)
     return held.select(
         F.col("_k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.coalesce(judged & far, F.lit(False))).alias("kept"),
