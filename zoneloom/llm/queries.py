@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zoneloom.llm.audit import filter_audit
+from zoneloom.llm.bpe import encode_bytes
 from zoneloom.llm.decontam import contaminated
 from zoneloom.llm.html import extract
 from zoneloom.llm.oracles import ORACLES  # noqa: F401
 from zoneloom.llm.pieces import encode_pieces
 from zoneloom.llm.pii import KINDS, find_personal_data, written
 from zoneloom.llm.quality import fit_quality, score_documents
+from zoneloom.llm.resample import resample
 from zoneloom.llm.rules import apply_rules
 from zoneloom.llm.shards import shard_records
 from zoneloom.llm.simhash import hex_fingerprint, near_duplicates
@@ -21,6 +24,7 @@ from zoneloom.llm.tokens import read_documents, write_token_files
 from zoneloom.session import scratch_path
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -83,6 +87,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, out)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    return filter_audit(docs, table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_bytes(documents(spark, sf_dir), BYTE_RANKS, decoded=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", ["text"]))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_quality": op2_quality,
@@ -94,4 +115,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_personal_data": op9_personal_data,
     "op10_token_files": op10_token_files,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_resampling": op13_resampling,
 }

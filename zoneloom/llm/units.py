@@ -48,8 +48,6 @@ class UnitEncoder:
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids per text; an empty text has none."""
-        if len(self._numbers) > self._kept:
-            self._forget()
         units: list[Hashable] = []
         per_text = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -57,6 +55,14 @@ class UnitEncoder:
                 parts = cut(text)
                 units += parts
                 per_text[i] = len(parts)
+        ids, sizes = self.units(units)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(per_text)))]
+        return ids, np.diff(bounds)
+
+    def units(self, units: Sequence[Hashable]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and the number of ids per unit."""
+        if len(self._numbers) > self._kept:
+            self._forget()
         numbers = np.fromiter(map(self._numbers.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(numbers < 0).tolist()
         if missing:
@@ -73,9 +79,7 @@ class UnitEncoder:
             self._sizes = np.concatenate((self._sizes, sizes))
             numbers[missing] = [self._numbers[units[i]] for i in missing]
         sizes = self._sizes[numbers]
-        ends = np.cumsum(sizes)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
-        return gather(self._ids, self._starts[numbers], sizes, ends), np.diff(bounds)
+        return gather(self._ids, self._starts[numbers], sizes), sizes
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
