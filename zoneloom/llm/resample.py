@@ -28,6 +28,12 @@ SEED = 7
 SCALE = 1000
 CHUNK_BYTES = 1 << 20
 LONG_GRAM = 64  # bytes; longer n-grams are compared one by one
+SHORT_HASH = 32  # bytes from which XXH64 works in stripes; shorter n-grams are hashed together
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
 
 # Words are of digits, letters a-z and bytes from 128; A-Z count as a-z, all other bytes (0 here) separate.
 _WORD_BYTE = np.zeros(256, np.uint8)
@@ -48,6 +54,7 @@ class Words:
         raw[~inside] = 0x20
         self.buffer = np.concatenate((raw[kept], np.zeros(8, np.uint8)))
         self.data = self.buffer.tobytes()
+        self.eight = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, strides=(1,))  # eight bytes from each place on
         self.starts, self.ends = place[starts], place[ends]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text = np.searchsorted(np.cumsum(sizes), starts, side="right")
@@ -66,17 +73,42 @@ class Words:
         return tuple(np.concatenate(x) if x else none for x in (starts, ends, texts))  # type: ignore[return-value]
 
 
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _hashes(words: Words, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of the bytes at every place."""
+    h = sizes.astype(np.uint64) + _P5
+    for done in range(0, SHORT_HASH - 8, 8):
+        rows = np.flatnonzero(sizes >= done + 8)
+        lane = _turn(words.eight[starts[rows] + done] * _P2, 31) * _P1
+        h[rows] = _turn(h[rows] ^ lane, 27) * _P1 + _P4
+    at = starts + (sizes & ~7)
+    rows = np.flatnonzero(sizes & 4)
+    h[rows] = _turn(h[rows] ^ (words.eight[at[rows]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+    at = at + (sizes & 4)
+    for done in range(3):
+        rows = np.flatnonzero(sizes & 3 > done)
+        h[rows] = _turn(h[rows] ^ words.buffer[at[rows] + done] * _P5, 11) * _P1
+    for bits, prime in ((33, _P2), (29, _P3)):
+        h = (h ^ h >> np.uint64(bits)) * prime
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(sizes >= SHORT_HASH).tolist():
+        h[i] = xxh64_intdigest(words.data[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
 class GramTable:
     """Interned n-grams: ``slot`` per occurrence; ``bucket`` and ``count`` per slot."""
 
     def __init__(self, words: Words, starts: np.ndarray, ends: np.ndarray, buckets: int):
         data, sizes = words.data, ends - starts
-        spans = list(zip(starts.tolist(), ends.tolist()))
-        keys = np.fromiter((xxh64_intdigest(data[a:b]) for a, b in spans), np.uint64, len(spans))
-        capacity = 1 << max(4, (2 * len(spans)).bit_length())
+        keys = _hashes(words, starts, sizes)
+        capacity = 1 << max(4, (2 * len(keys)).bit_length())
         owner = np.full(capacity, -1, np.int64)  # the occurrence that took a slot
         self.slot = (keys & np.uint64(capacity - 1)).astype(np.int64)
-        rest = np.arange(len(spans))
+        rest = np.arange(len(keys))
         while len(rest):
             at = self.slot[rest]
             free = owner[at] < 0
@@ -95,7 +127,6 @@ class GramTable:
 
 def _equal(words: Words, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether the bytes at two places are the same; eight at a time."""
-    eight = np.ndarray((max(0, len(words.buffer) - 7),), "<u8", words.buffer, strides=(1,))
     equal = np.ones(len(a), bool)
     rows = np.flatnonzero(sizes <= LONG_GRAM)
     for done in range(0, LONG_GRAM, 8):
@@ -104,7 +135,7 @@ def _equal(words: Words, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.
             break
         left = np.minimum(sizes[rows] - done, 8)
         mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64)
-        equal[rows] &= ((eight[a[rows] + done] ^ eight[b[rows] + done]) & mask) == 0
+        equal[rows] &= ((words.eight[a[rows] + done] ^ words.eight[b[rows] + done]) & mask) == 0
     for i in np.flatnonzero(sizes > LONG_GRAM).tolist():
         equal[i] = words.data[a[i] : a[i] + sizes[i]] == words.data[b[i] : b[i] + sizes[i]]
     return equal
