@@ -312,7 +312,6 @@ def test_token_files(spark, docs, rows, tmp_path):
     out = f"{tmp_path}/files"
     write_token_files(every, out, BPE)
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     start, want, flat = 0, [], []
     for d, t in sorted([(d, t or "") for d, t, *_ in rows] + [(800 + i, t) for i, t in enumerate(odd)], key=lambda r: (ids(r[0]), r[1].encode())):
         found = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]

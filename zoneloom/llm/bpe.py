@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.llm.tables import byte_chunks
+from zoneloom.llm.tables import byte_chunks, held
 from zoneloom.llm.units import UnitEncoder, gather
 
 CHUNK_BYTES = 1 << 20
@@ -260,11 +260,13 @@ class ByteBPE:
         return gather(self.token_bytes, self.token_start[ids], sizes)
 
 
-@lru_cache(maxsize=1)
 def _codec(path: str) -> tuple[ByteBPE, UnitEncoder]:
     """A worker's ranks and slices, kept between its tasks."""
-    bpe = ByteBPE(path)
-    return bpe, UnitEncoder(bpe.merge, np.int32, SLICES_KEPT)
+    def make() -> tuple[ByteBPE, UnitEncoder]:
+        bpe = ByteBPE(path)
+        return bpe, UnitEncoder(bpe.merge, np.int32, SLICES_KEPT)
+
+    return held(f"bpe {path}", make)
 
 
 def encode_chunk(bpe: ByteBPE, cache: UnitEncoder, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.llm.tables import byte_chunks, free_name
+from zoneloom.llm.tables import byte_chunks, free_name, held
 from zoneloom.session import cut_lineage
 
 WINDOW = 5  # tokens; items with fewer have one window of their own length
@@ -51,20 +51,20 @@ _ENDER[list(b".!?:;\n")] = True
 _DIGIT[48:58] = True
 _CAPITAL[65:91] = True
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least ``n``."""
-    if base not in _powers or len(_powers[base][0]) < n:
+    powers: dict[int, tuple[np.ndarray, np.ndarray]] = held("decontamination", dict)
+    if base not in powers or len(powers[base][0]) < n:
         size = max(n, CHUNK_BYTES + (1 << 14))
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             tables.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[base] = (tables[0], tables[1])
-    return _powers[base]
+        powers[base] = (tables[0], tables[1])
+    return powers[base]
 
 
 def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:

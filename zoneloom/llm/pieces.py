@@ -8,20 +8,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.llm.tables import byte_chunks
+from zoneloom.llm.tables import byte_chunks, held
 from zoneloom.llm.units import UnitEncoder, gather
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNK_BYTES = 2 << 20
-CELLS = 1 << 21  # byte positions of units that advance together
+CHUNK_BYTES = 1 << 20
+UNITS_KEPT = 150_000  # of a worker, some 25 MB
+CELLS = 1 << 19  # byte positions of units that advance together
 
 
 class Automaton:
@@ -44,7 +44,7 @@ class Automaton:
                 node = children[node][byte]
             piece_at[node] = number
         n = len(children)
-        self.goto = np.zeros((n, 256), np.int32)
+        self.goto = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         self.piece = np.array(piece_at, np.int32)
         fail, self.link = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for depth, level in enumerate(levels):
@@ -179,16 +179,19 @@ class PieceModel:
         return [out[a + 1 : b] if b > a else b"" for a, b in zip(ends, ends[1:])]
 
 
-@lru_cache(maxsize=1)
 def _model(path: str) -> tuple[PieceModel, UnitEncoder]:
     """A worker's model and encoder, kept between its tasks."""
+    return held(f"pieces {path}", lambda: _make_model(path))
+
+
+def _make_model(path: str) -> tuple[PieceModel, UnitEncoder]:
     model = PieceModel(path)
     space = SPACE.encode()
 
     def encode_new(units: Sequence) -> tuple[np.ndarray, np.ndarray]:
         return model.viterbi([space + (u[0] if isinstance(u, tuple) else u).replace(" ", SPACE).encode() for u in units])
 
-    return model, UnitEncoder(encode_new, np.int32)
+    return model, UnitEncoder(encode_new, np.int32, UNITS_KEPT)
 
 
 def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:

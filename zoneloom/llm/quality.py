@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zoneloom.llm.tables import held
+
 SAMPLE = 20_000  # labelled documents that the trees are fitted on; with more, those of the least hashed ids
 BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 60, 4, 0.15, 5.0, 1.0
 THRESHOLD = 0.3
@@ -153,6 +155,7 @@ def quality_score(model: Trees) -> Callable[[Column | str], Column]:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held("quality", dict)  # nothing to keep
         for texts in batches:
             yield pd.Series(model.score(_statistics_of(texts)))
 

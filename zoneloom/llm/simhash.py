@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from zoneloom.llm.components import components
-from zoneloom.llm.tables import free_name
+from zoneloom.llm.tables import free_name, held
 from zoneloom.session import cut_lineage
 
 SEED = 42
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("fingerprints", dict)  # nothing to keep
         for batch in batches:
             values = (fingerprint(t.as_py().encode(), shingle) if t.is_valid else 0 for t in batch.column(1))
             found = np.fromiter(values, np.uint64, len(batch)).view(np.int64)

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between its tasks, under a name. One thing at a time: the next operator's takes the place of
+    the last one's, so a worker that serves many stages holds no more than one that serves one."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] = ()) -> DataFrame:
     """A whole input table, or some of its columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zoneloom.llm.tables import byte_chunks
+from zoneloom.llm.tables import byte_chunks, held
 from zoneloom.llm.units import UnitEncoder
 
 END_ID = 2
@@ -128,14 +128,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(hidden) if b >= 128}
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> tuple[UnitEncoder, int]:
+def _encoder(path: str, special: bool) -> tuple[UnitEncoder, int]:
     """A worker's encoder, kept between its tasks, and the bits of an id. The tasks are the threads: it starts none."""
+    return held(f"tokens {special} {path}", lambda: _make_encoder(path, special))
+
+
+def _make_encoder(path: str, special: bool) -> tuple[UnitEncoder, int]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not special
     bits = max(tokenizer.get_vocab_size() - 1, END_ID).bit_length()
 
     model, table, newline = tokenizer.model, _byte_letters(), tokenizer.encode("\n", add_special_tokens=False).ids
@@ -186,8 +189,8 @@ def _with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray
     return np.insert(ids, np.cumsum(sizes), end), sizes + 1
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch], path: str, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, bits = _encoder(path)
+def _shard_rows(batches: Iterator[pa.RecordBatch], path: str, special: bool, end: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    encoder, bits = _encoder(path, special)
     part, shard = TaskContext.get().partitionId(), 0
     keys: list = []
     ids: list[np.ndarray] = []
@@ -212,11 +215,14 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], path: str, end: int, schema:
         yield close()
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID) -> None:
+def write_token_files(
+    docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END_ID, special: bool = True,
+) -> None:
     """Write the ids of all documents, ordered by key, as shard files below ``out``.
 
     Rows are dealt over tasks by ranges of the key and sorted there (null keys first, repeated keys by text). A null
-    text counts as an empty one, which has the end id alone.
+    text counts as an empty one, which has the end id alone; an empty table has no shards. The strings of special
+    tokens become those tokens, as the library does by default, or with ``special=False`` are encoded like other text.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -224,7 +230,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, key: str = "doc
     dealt = rows.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     ddl = SHARD_SCHEMA.format(key=rows.schema["k"].dataType.simpleString())
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    made = dealt.mapInArrow(lambda batches: _shard_rows(batches, tokenizer, end, schema), ddl)
+    made = dealt.mapInArrow(lambda batches: _shard_rows(batches, tokenizer, special, end, schema), ddl)
     made.write.option("compression", "zstd").parquet(out)
 
 
