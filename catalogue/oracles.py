@@ -160,6 +160,53 @@ ascent(step, th) as (
      from (select a.step, a.th, a.step % 7 + 1 as j, cells.*, th[1]*x1 + th[2]*x2 + th[3]*x3 as eta from ascent a, cells where a.step < 1400) e) p) d) q
   group by step, th, j) moved)"""
 
+TERMS = """unnest(['hi_value', 'is_final', 'is_building', '1-URGENT|2-HIGH', '2-HIGH|3-MEDIUM', '3-MEDIUM|4-NOT SPECIFIED', '4-NOT SPECIFIED|5-LOW'])"""
+
+
+def _newton(name: str, source: str) -> str:
+    """A Newton step of the ordered logit from ``source(th)``: ``{name}_inv(v)``, the inverse information by Gauss-Jordan,
+    and ``{name}(th)``, the parameters after the step."""
+    arg = "list_transform(range(1, 8), lambda j: (case when j <= 3 then -xs[j] when y = j - {0} then 1 else 0 end)::double) as {1}".format
+    return f"""{name}_prob as (select n, y, xs, case when y = 5 then 1.0::double else 1/(1+exp(eta - th[y+3])) end as u, case when y = 1 then 0.0::double else 1/(1+exp(eta - th[y+2])) end as l
+  from (select n, y, th, [x1, x2, x3] as xs, th[1]*x1 + th[2]*x2 + th[3]*x3 as eta from cells, {source}) e),
+{name}_arg as (select n, u - l as p, u*(1-u) as du, l*(1-l) as dl, u*(1-u)*(1-2*u) as hu, l*(1-l)*(1-2*l) as hl, {arg(3, 'up')}, {arg(2, 'lo')} from {name}_prob),
+{name}_slope as (select *, list_transform(range(1, 8), lambda j: (du*up[j] - dl*lo[j]) / p) as g from {name}_arg),
+{name}_flat as (select i, j, sum(n * ((hu*up[i]*up[j] - hl*lo[i]*lo[j]) / p - g[i]*g[j])) as h from {name}_slope, range(1, 8) a(i), range(1, 8) b(j) group by i, j),
+{name}_grad as (select list(s order by i) as g from (select i, sum(n * g[i]) as s from {name}_slope, range(1, 8) a(i) group by i) q),
+{name}_gauss(k, m) as (
+ select 1, list(r order by i) from (select i, list_concat(list(-h order by j), list_transform(range(1, 8), lambda c: (case when c = i then 1 else 0 end)::double)) as r from {name}_flat group by i) q
+ union all
+ select k + 1, list_transform(range(1, 8), lambda i: list_transform(range(1, 15), lambda c: case when i = k then m[k][c] / m[k][k] else m[i][c] - m[i][k] * m[k][c] / m[k][k] end)) from {name}_gauss where k <= 7),
+{name}_inv as (select list_transform(m, lambda r: r[8:14]) as v from {name}_gauss where k = 8),
+{name} as (select list_transform(range(1, 8), lambda i: th[i] + list_sum(list_transform(range(1, 8), lambda j: v[i][j] * g[j]))) as th from {name}_inv, {name}_grad, {source})"""
+
+
+# Coordinate ascent, two Newton steps from where it ends, and the inverse information there.
+ESTIMATED = ["recursive " + MODEL, ASCENT, "risen as (select th from ascent where step = 1400)", _newton("near", "risen"), _newton("best", "near"), _newton("last", "best")]
+# erfc by the series of erf with positive terms alone; over 6 it is 0 to ten digits.
+ERFC = """case when z > 6 then 0.0::double else 1 - 2 / sqrt(pi()) * exp(-z*z) * list_sum(list_transform(range(0, 160), lambda k: exp((2*k+1)*ln(greatest(z, 1e-300)) + k*ln(2.0::double) - list_sum(list_transform(range(0, k+1), lambda i: ln((2*i+1)::double)))))) end"""
+# Columns of the lower root of the inverse information, one per step.
+CHOLESKY = """root(k, a) as (
+ select 1, [[0.0::double], [0.0], [0.0], [0.0], [0.0], [0.0], [0.0]] union all
+ select k + 1, list_transform(range(1, 8), lambda i: list_append(a[i], case when i < k then 0.0::double
+  when i = k then sqrt(v[k][k] - list_sum(list_transform(a[k], lambda x: x * x)))
+  else (v[i][k] - list_sum(list_transform(range(1, k + 1), lambda c: a[i][c] * a[k][c]))) / sqrt(v[k][k] - list_sum(list_transform(a[k], lambda x: x * x))) end)) from root, last_inv where k <= 7),
+lower as (select list_transform(a, lambda r: r[2:8]) as a from root where k = 8)"""
+
+
+def _uniform(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0"
+
+
+DRAWN = f"""noise as (select d, list_transform(range(0, 7), lambda j: sqrt(-2 * ln({_uniform("'11:' || d || ':' || j || ':r'")})) * cos(2 * pi() * {_uniform("'11:' || d || ':' || j || ':t'")})) as z from range(0, 1000) r(d)),
+drawn as (select d, list_transform(range(1, 8), lambda i: th[i] + list_sum(list_transform(range(1, 8), lambda j: a[i][j] * z[j]))) as t from noise, lower, best),
+combos as (select x2, x3, sum(n) as n from cells group by all),
+chance as (select d, e as effect_value, n, [0.0::double, 1/(1+exp(eta - t[4])), 1/(1+exp(eta - t[5])), 1/(1+exp(eta - t[6])), 1/(1+exp(eta - t[7])), 1.0::double] as c
+ from (select d, t, n, e, t[1]*e + t[2]*x2 + t[3]*x3 as eta from drawn, combos, (values (0.0::double), (1.0)) v(e)) q),
+probs as (select d, effect_value, y, sum(n * (c[y + 1] - c[y])) / sum(n) as prob from chance, range(1, 6) r(y) group by all),
+ranges as (select ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][y] as outcome, effect_value, quantile_cont(prob, 0.025) as lower, avg(prob) as mean, quantile_cont(prob, 0.975) as upper from probs group by all)"""
+
+
 ORACLES: dict[str, str] = {
     "scan_entities": _sql([ENTITY], "select * from fx_entity"),
     "scan_spending": _sql([SPENDING], "select state, id, round(pp_total, 6) as pp_total from fx_spending"),
@@ -287,4 +334,49 @@ ORACLES: dict[str, str] = {
     "study_model": _sql(COMBINED_PARTS, f"""select city, zone_id, entity_id, majority_grade, ascii(majority_grade) - 64 as majority_level,
       {_flag('n_urgent')} as urgent_maj, {_flag('n_low')} as low_maj, {_flag('n_subsidised')} as subsidised_maj
       from combined where grade is not null and entity_id is not null"""),
+    "fit_ordinal": _sql(ESTIMATED, f"""select term, round(est, 6) + 0.0::double as estimate, round(se, 6) as std_error, round(est / se, 4) + 0.0::double as t_value, round({ERFC}, 6) + 0.0::double as p_value
+      from (select *, abs(est / se) / sqrt(2.0::double) as z from (select {TERMS} as term, unnest(th) as est, unnest(list_transform(range(1, 8), lambda i: sqrt(v[i][i]))) as se from best, last_inv) a) b"""),
+    "simulate_interval": _sql([*ESTIMATED, CHOLESKY, DRAWN], """select outcome, effect_value, round(lower, 3) as lower, round(mean, 3) as mean, round(upper, 3) as upper,
+      max(lower) over (partition by outcome) > min(upper) over (partition by outcome) as apart from ranges"""),
+    "fragment_edges": _sql([ZONE, AREA], """select city, zone_id, area_id, false as hole, e::bigint as edge_no,
+       case when e <= 2 then x0 else x1 end as x1, case when e in (2, 3) then y1 else y0 end as y1, case when e in (2, 3) then x1 else x0 end as x2, case when e <= 2 then y1 else y0 end as y2
+      from (select z.city, z.zone_id, a.area_id, greatest(z.x0, a.x0) as x0, greatest(z.y0, a.y0) as y0, least(z.x1, a.x1) as x1, least(z.y1, a.y1) as y1
+       from fx_zone z join fx_area a on z.city = a.city and z.x0 < a.x1 and a.x0 < z.x1 and z.y0 < a.y1 and a.y0 < z.y1) c, range(1, 5) r(e)"""),
+    "fragment_polygons": _sql([ZONE, AREA], """select city, zone_id, area_id, round(area, 6) as area, round(case when l >= bottom then lo else x0 + (bottom - y0) / s end, 6) as xmin, round(bottom, 6) as ymin,
+       round(hi, 6) as xmax, round(least(h, top), 6) as ymax from (
+       select *, case when h <= bottom then 0 when l >= bottom then (l + h - 2 * bottom) / 2 * (hi - lo) else (h - bottom) * (h - bottom) / (2 * s) end
+        - case when h <= top then 0 when l >= top then (l + h - 2 * top) / 2 * (hi - lo) else (h - top) * (h - top) / (2 * s) end as area from (
+        select *, y0 + (lo - x0) * s as l, y0 + (hi - x0) * s as h from (
+         select z.city, z.zone_id, a.area_id, (z.y1 - z.y0) / (z.x1 - z.x0) as s, greatest(z.x0, a.x0) as lo, least(z.x1, a.x1) as hi, greatest(z.y0, a.y0) as bottom, a.y1 as top, z.x0, z.y0
+         from fx_zone z join fx_area a on z.city = a.city and z.x0 < a.x1 and a.x0 < z.x1 and z.y0 < a.y1 and a.y0 < z.y1) m) e) f where area > 1e-9"""),
+    "dissolved_edges": _sql([ZONE, AREA, """sides as (select city, zone_id, grade, e, case when e <= 2 then x0 else x1 end as x1, case when e in (2, 3) then y1 else y0 end as y1,
+       case when e in (2, 3) then x1 else x0 end as x2, case when e <= 2 then y1 else y0 end as y2
+      from (select z.city, z.zone_id, a.grade, greatest(z.x0, a.x0) as x0, greatest(z.y0, a.y0) as y0, least(z.x1, a.x1) as x1, least(z.y1, a.y1) as y1
+       from fx_zone z join fx_area a on z.city = a.city and z.x0 < a.x1 and a.x0 < z.x1 and z.y0 < a.y1 and a.y0 < z.y1 where grade is not null) c, range(1, 5) r(e))"""],
+      """select a.city, a.zone_id, a.grade, a.x1, a.y1, a.x2, a.y2 from sides a anti join sides b
+       on a.city = b.city and a.zone_id = b.zone_id and a.grade = b.grade and a.x1 = b.x2 and a.y1 = b.y2 and a.x2 = b.x1 and a.y2 = b.y1"""),
+    "repair_rings": _sql([ZONE], """select city, zone_id, false as hole, e::bigint as edge_no, xs[e] as x1, ys[e] as y1, xs[e % 3 + 1] as x2, ys[e % 3 + 1] as y2
+      from (select city, zone_id, unnest([[x0, x0, (x0 + x1) / 2], [(x0 + x1) / 2, x1, x1]]) as xs, unnest([[y0, y1, (y0 + y1) / 2], [(y0 + y1) / 2, y1, y0]]) as ys from fx_zone) t, range(1, 4) r(e)"""),
+    "unproject_albers": _sql([GEO], "select id, round(lon, 8) as lon, round(lat, 8) as lat from fx_geo"),
+    "projected_study": _sql([ZONE, AREA, ENTITY, """fx_geo as (select {'city': city, 'zone': zone_id, 'c': c} as id, (case when c <= 2 then x0 else x1 end) * 0.01::double - 100 as lon,
+       (case when c in (2, 3) then y1 else y0 end) * 0.01::double + 38 as lat from fx_zone, range(1, 5) r(c))""", ALBERS,
+      """corners as (select id, a*sqrt(c-n*q)/n*sin(th) as x, a*sqrt(c-n*q0)/n - a*sqrt(c-n*q)/n*cos(th) as y from placed),
+      own as (select a.id.city as city, a.id.zone as zone_id, sum((b.x - a.x) * (a.y + b.y) / 2) as own_area from corners a join corners b on a.id.city = b.id.city and a.id.zone = b.id.zone and b.id.c = a.id.c % 4 + 1 group by all),
+      moved as (select city, entity_id, x + 0.0617::double as x, y + 0.0617::double as y from fx_entity),
+      counts as (select z.city, z.zone_id, count(*) as n_entities, count(*) filter (a.grade = 'A') as n_in_a from fx_zone z join moved e on z.city = e.city and e.x between z.x0 and z.x1 and e.y between z.y0 and z.y1
+       join fx_area a on a.city = e.city and e.x between a.x0 and a.x1 and e.y between a.y0 and a.y1 group by all)"""],
+      "select city, zone_id, round(own_area, 1) as own_area, n_entities, n_in_a from own left join counts using (city, zone_id)"),
+    "nest_any_id": _sql([ENTITY], """select city, (r // 50)::bigint as block, string_agg(coalesce(id, '-'), ',' order by r) as members
+      from (select city, id, row_number() over (partition by city order by id nulls first) - 1 as r from (select city, case when cast(entity_id as bigint) % 3 <> 0 then entity_id end as id from fx_entity) e) n group by city, r // 50"""),
+    "map_layer": _sql(CLASSIFIED_PARTS, "select city, zone_id, grade, round(area_perc, 6) as area_perc, majority_grade, (ascii(majority_grade) - 64)::int as majority_level from classified"),
+    "published_results": _sql([*COMBINED_PARTS], """select 'zone_summary' as name, city, count(*) as n from classified group by city
+      union all select 'map_layer', city, count(*) from classified group by city union all select 'fragments', city, count(*) from overlap group by city
+      union all select 'located', city, count(*) from located group by city union all select 'grade_share', city, count(distinct coalesce(grade, '-')) from combined group by city
+      union all select 'entities_in_zones', city, count(*) from located l where exists (select 1 from winners w where w.city = l.city and w.zone_id = l.zone_id) group by city"""),
+    "model_report": _sql([*ESTIMATED, CHOLESKY, DRAWN], f"""select 'coefficients' as section, term as item, null::double as effect_value, round(est, 6) + 0.0::double as a, round(se, 6) as b, round({ERFC}, 6) + 0.0::double as c
+       from (select *, abs(est / se) / sqrt(2.0::double) as z from (select {TERMS} as term, unnest(th) as est, unnest(list_transform(range(1, 8), lambda i: sqrt(v[i][i]))) as se from best, last_inv) q) r
+      union all select 'counterfactual', 'top', e, round(m, 5), round(max(m) over () - min(m) over () * 1, 5) * (select sign(th[1]) from best), null
+       from (select e, sum(n / (1 + exp(th[7] - th[1]*e - th[2]*x2 - th[3]*x3))) / sum(n) as m from cells, best, (values (0.0::double), (1.0)) v(e) group by e) s
+      union all select 'intervals', outcome, effect_value, round(lower, 3), round(mean, 3), round(upper, 3) from ranges"""),
 }
+ORACLES["zone_drilldown_published"] = ORACLES["zone_drilldown"]

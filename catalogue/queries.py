@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from catalogue import views
 from zoneloom.functions import projection, scalars
-from zoneloom.operators import compare, edges as E, ordinal, overlay, shape
+from zoneloom.operators import boundary, compare, edges as E, ordinal, overlay, shape
 from zoneloom.operators.classify import category_share, category_weight
 from zoneloom.operators.locate import points_in_polygons
 from zoneloom.operators.quantiles import exact_quantiles
-from zoneloom.plans.inputs import GRADES
+from zoneloom.plans.inputs import GRADES, prepare_study
+from zoneloom.plans.report import ordinal_report, publish_results, published_drill_down
 from zoneloom.plans.study import ZoneStudy, sample_description, search_descriptions
 from zoneloom.session import cut_lineage, scratch_path
 from zoneloom.sources.layers import scan_layers
@@ -250,13 +251,16 @@ def multipart_zones(spark, sf_dir):
     return _rounded(own.join(shared, ZONE_KEY, "left").join(held, ZONE_KEY, "left"), area=6, shared=6)
 
 
+def _slanted_zones(spark, sf_dir) -> DataFrame:
+    ring = "array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), named_struct('x', x1, 'y', y0)))"
+    table = views.zones(spark, sf_dir).withColumn("polygons", F.expr(f"array({ring})"))
+    return E.normalize_rings(E.polygon_edges(table, ZONE_KEY, "polygons"), ZONE_KEY)
+
+
 @query
 def overlay_polygons(spark, sf_dir):
     """Slanted zones (lower right triangles of their boxes) over the graded boxes."""
-    zones = views.zones(spark, sf_dir)
-    ring = "array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), named_struct('x', x1, 'y', y0)))"
-    triangles = E.normalize_rings(E.polygon_edges(zones.withColumn("polygons", F.expr(f"array({ring})")), ZONE_KEY, "polygons"), ZONE_KEY)
-    found = overlay.overlay_area(triangles, _area_edges(spark, sf_dir), ["city"], "zone_id", "area_id")
+    found = overlay.overlay_area(_slanted_zones(spark, sf_dir), _area_edges(spark, sf_dir), ["city"], "zone_id", "area_id")
     return _rounded(found, area=6)
 
 
@@ -331,6 +335,62 @@ def points_in_fragments(spark, sf_dir):
     return _study(spark, sf_dir, entities=True).located
 
 
+# Boundaries
+
+
+@query
+def fragment_edges(spark, sf_dir):
+    """Outline of what each zone and area share."""
+    table = _study(spark, sf_dir).fragment_edges
+    return table.select(*ZONE_KEY, "area_id", "hole", "edge_no", *boundary.XY)
+
+
+@query
+def fragment_polygons(spark, sf_dir):
+    """Outlines of what slanted zones share with areas, as area and box of each."""
+    found = boundary.fragment_edges(_slanted_zones(spark, sf_dir), _area_edges(spark, sf_dir), ["city"], "zone_id", "area_id")
+    keys = [*ZONE_KEY, "area_id"]
+    return _rounded(E.polygon_area(found, keys).join(E.layer_bbox(found, keys), keys), area=6, xmin=6, ymin=6, xmax=6, ymax=6)
+
+
+@query
+def dissolved_edges(spark, sf_dir):
+    """Outline of all parts of one grade in a zone."""
+    return _study(spark, sf_dir).grade_edges.select(*GROUP, *boundary.XY)
+
+
+@query
+def repair_rings(spark, sf_dir):
+    """Zones given as bow-ties, split where they cross themselves and turned."""
+    ring = "array(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1), named_struct('x', x1, 'y', y0), named_struct('x', x0, 'y', y1)))"
+    ties = E.polygon_edges(views.zones(spark, sf_dir).withColumn("polygons", F.expr(f"array({ring})")), ZONE_KEY, "polygons")
+    return boundary.repair_edges(ties, ZONE_KEY).select(*ZONE_KEY, "hole", "edge_no", *boundary.XY)
+
+
+@query
+def unproject_albers(spark, sf_dir):
+    """Points projected and taken back."""
+    there = projection.project_points(views.geo_points(spark, sf_dir), projection.albers)
+    lon, lat = projection.albers_inverse(F.col("x"), F.col("y"))
+    return there.select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query
+def projected_study(spark, sf_dir):
+    """The raw path: zones, areas and entities in degrees, projected alike, compared in square metres."""
+    degrees = "{0} * 0.01 - 100".format, "{0} * 0.01 + 38".format
+    scaled = {f"{a}{n}": F.expr(degrees[a == "y"](f"{a}{n}")) for a in "xy" for n in (0, 1)}
+    zones, areas = (f(spark, sf_dir).withColumns(scaled) for f in (views.zones, views.areas))
+    # Entities stand beside the outlines: a parallel is a curve in the plane, an edge along it a chord.
+    entities = views.entities(spark, sf_dir).select("city", "entity_id", F.expr(degrees[0]("(x + 0.0617)")).alias("x"), F.expr(degrees[1]("(y + 0.0617)")).alias("y"))
+    zone_edges, area_edges, placed = prepare_study(E.box_edges(zones, ZONE_KEY), E.box_edges(areas, AREA_KEY), entities)
+    own = E.polygon_area(zone_edges, ZONE_KEY).withColumnRenamed("area", "own_area")
+    held_by = points_in_polygons(placed, zone_edges, ["city"], "entity_id", "zone_id")
+    graded = points_in_polygons(placed, area_edges, ["city"], "entity_id", "area_id").join(views.areas(spark, sf_dir).select(*AREA_KEY, "grade"), AREA_KEY)
+    counts = held_by.join(graded, ["city", "entity_id"]).groupBy(*ZONE_KEY).agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("grade") == "A").alias("n_in_a"))
+    return own.join(counts, ZONE_KEY, "left").select(*ZONE_KEY, F.round("own_area", 1).alias("own_area"), "n_entities", "n_in_a")
+
+
 # Classification
 
 
@@ -375,6 +435,33 @@ def zone_drilldown(spark, sf_dir):
     return _rounded(_study(spark, sf_dir, entities=True).drill_down(DRILL_CITY, DRILL_ZONE), area=6)
 
 
+@query
+def zone_drilldown_published(spark, sf_dir):
+    """The same drill-down from published tables: one city's folder of each is read."""
+    root = scratch_path(spark, "published")
+    publish_results(_study(spark, sf_dir, entities=True), root)
+    return _rounded(published_drill_down(spark, root, DRILL_CITY, DRILL_ZONE), area=6)
+
+
+@query
+def map_layer(spark, sf_dir):
+    table = _study(spark, sf_dir).map_layer()
+    return _rounded(table.select(*GROUP, "area_perc", "majority_grade", "majority_level"), area_perc=6)
+
+
+@query
+def published_results(spark, sf_dir):
+    """Rows per city of every published table, one city published a second time."""
+    root = scratch_path(spark, "published")
+    study = _study(spark, sf_dir, entities=True)
+    names = publish_results(study, root)
+    publish_results(study.of_city(DRILL_CITY), root)
+    return reduce(DataFrame.unionByName, [
+        read_published(spark, f"{root}/{n}", "city").groupBy("city").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "city", "n")
+        for n in names if n in ("zone_summary", "map_layer", "entities_in_zones", "grade_share", "fragments", "located")
+    ])
+
+
 @query
 def area_layer(spark, sf_dir):
     return _study(spark, sf_dir).area_layer("EUROPE").select("city", "area_id", "grade", "edge_no", "x1", "y1", "x2", "y2")
@@ -529,6 +616,14 @@ def interval_quantiles(spark, sf_dir):
 # Model
 
 
+@query
+def nest_any_id(spark, sf_dir):
+    """Texts as ids, a third of them missing, nested by rank."""
+    table = views.entities(spark, sf_dir).select("city", F.expr("if(cast(entity_id as bigint) % 3 = 0, null, entity_id)").alias("id"), F.lit(1).alias("one"))
+    nested = shape.nest_counted(table, ["city"], "id", "members", block=50)
+    return nested.select("city", "block", F.expr("array_join(transform(members, m -> coalesce(m.id, '-')), ',') as members"))
+
+
 @query
 def majority_flags(spark, sf_dir):
     table = views.entities(spark, sf_dir)
@@ -570,6 +665,22 @@ def simulate_interval(spark, sf_dir):
     return ordinal.interval_table(ordinal.simulate_draws(rows, fit, "hi_value", [0, 1], seed=11))
 
 
+@query
+def model_report(spark, sf_dir):
+    """Coefficients, counterfactual means and simulated intervals of one report, stacked."""
+    report = ordinal_report(views.model_rows(spark, sf_dir), FLAGS, "hi_value", "outcome", views.PRIORITIES, seed=11)
+    effect, none = "effect_value", F.lit(None).cast("double")
+    return reduce(DataFrame.unionByName, [
+        report["coefficients"].select(F.lit("coefficients").alias("section"), F.col("term").alias("item"), none.alias(effect), *_named("estimate", "std_error", "p_value", digits=6)),
+        report["counterfactual"].select(F.lit("counterfactual").alias("section"), F.lit("top").alias("item"), effect, *_named("mean_prob", "difference", digits=5), none.alias("c")),
+        report["intervals"].select(F.lit("intervals").alias("section"), F.col("outcome").alias("item"), effect, *_named("lower", "mean", "upper", digits=3)),
+    ])
+
+
+def _named(*columns: str, digits: int) -> list:
+    return [F.round(c, digits).alias(n) for c, n in zip(columns, "abc")]
+
+
 @query
 def study_model(spark, sf_dir):
     """The study's own model: majority level of the zones by majority flags of the entities in them."""

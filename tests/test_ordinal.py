@@ -115,3 +115,13 @@ def test_errors_are_clear(spark):
     constant = spark.createDataFrame([("A", 1), ("B", 1), ("A", 1)], schema)
     with pytest.raises(ValueError):
         fit_ordinal(constant, "y", ["x"], ["A", "B"])
+
+
+def test_draws_do_not_depend_on_how_rows_are_dealt(spark):
+    from zoneloom.operators.ordinal import normal_draws
+
+    one, many = (normal_draws(spark.newSession(), 4000, 3, seed=5) for _ in range(2))
+    rows = {r.draw: tuple(r)[1:] for r in one.coalesce(1).collect()}
+    assert rows == {r.draw: tuple(r)[1:] for r in many.repartition(7).collect()}
+    z = np.array(list(rows.values()))
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and np.abs(np.corrcoef(z.T) - np.eye(3)).max() < 0.06

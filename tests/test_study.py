@@ -128,9 +128,22 @@ def test_report_and_published_tables(spark):
     s = study(spark)
     path = scratch_path(spark, "results")
     names = publish_results(s, path)
-    assert set(names) == {"zone_summary", "map_layer", "entities_in_zones", "grade_share", "composition", "rate", "spending"}
+    assert set(names) == {"fragments", "located", "zone_summary", "map_layer", "entities_in_zones", "grade_share", "composition", "rate", "spending"}
     for name in names:
         assert read_published(spark, f"{path}/{name}", "city", "x").count() > 0
     rows = [("A", 0, 1), ("A", 1, 1), ("B", 0, 0), ("B", 1, 1), ("D", 1, 0), ("D", 0, 0), ("C", 1, 0), ("C", 0, 1), ("D", 1, 1), (None, 1, 1), ("A", None, 1)] * 4
     report = ordinal_report(spark.createDataFrame(rows, "majority_grade string, p_maj int, q_maj int"), ["p_maj", "q_maj"], "p_maj", n_draws=100)
     assert report["coefficients"].count() == 5 and report["counterfactual"].count() == 2 and report["intervals"].count() == 8
+
+
+def test_drill_down_reads_one_folder(spark):
+    from zoneloom.plans.report import published_drill_down
+
+    s, path = study(spark), scratch_path(spark, "published")
+    publish_results(s, path)
+    publish_results(s, path)  # again: nothing doubles
+    city, zone = s.classified.select("city", "zone_id").orderBy("city", "zone_id").first()
+    found = published_drill_down(spark, path, city, zone)
+    columns = ["area_id", "grade", "majority_grade", "entity_id"]
+    assert sorted(map(str, found.select(*columns).collect())) == sorted(map(str, s.drill_down(city, zone).select(*columns).collect()))
+    assert all(f"/city={city}/" in f for f in found.inputFiles()) or "PartitionFilters: [isnotnull(city" in found._jdf.queryExecution().toString()

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Times the coordinates: what rounding may move them by, a few units in the last place.
+ROUNDING = 8 * 2.0**-52
 # Levels are kept within what doubles separate at map coordinates; zero-sized boxes get the lowest one.
 MIN_LEVEL, MAX_LEVEL = -20, 60
 
@@ -62,13 +64,15 @@ def _listed(boxes: DataFrame, other: DataFrame, on: Sequence[str], columns: Sequ
     )
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str) -> DataFrame:
-    """Pairs of polygons whose boxes overlap, each once; columns of both sides as ``l_*`` and ``r_*``.
+def candidate_pairs(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_id: str, right_id: str, carried: Sequence[str] = ("x_level",)
+) -> DataFrame:
+    """Pairs of polygons whose boxes overlap, each once; ids, boxes and ``carried`` columns of both sides as ``l_*`` and ``r_*``.
 
     Role 0 joins pairs whose left polygon is at least as coarse, role 1 those whose right polygon is coarser.
     A pair is kept only in the cell holding the lower left corner of the common box, so no distinct is needed.
     """
-    columns = ["xmin", "ymin", "xmax", "ymax", "x_level"]
+    columns = ["xmin", "ymin", "xmax", "ymax", *carried]
 
     def entries(own_role: int, other_role: int, wanted: str) -> str:
         own = f"array(named_struct('role', {own_role}, 'cell_level', level))"

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoneloom.operators.edges import ROW_STEP
-from zoneloom.operators.grid import candidate_points, cell_of, cells_between, outlines
+from zoneloom.operators.grid import ROUNDING, candidate_points, cell_of, cells_between, outlines
 
 
-def _y_slabs(edges: DataFrame, headers: DataFrame, on: Sequence[str], polygon: str) -> DataFrame:
+def y_slabs(edges: DataFrame, headers: DataFrame, on: Sequence[str], polygon: str) -> DataFrame:
     """Edges listed in the y slabs of their polygon that they cross, at most three per edge on average."""
     rows = edges.join(headers.select(*on, polygon, "y_level"), [*on, polygon])
     return rows.selectExpr(
@@ -34,12 +34,14 @@ def points_in_polygons(
         "*", f"{cell_of('py', 'y_level')} as slab"
     )
     crosses = "(y1 > py) <> (y2 > py) and px < (x2 - x1) * (py - y1) / nullif(y2 - y1, 0) + x1"
+    # On the line within what rounding of the coordinates can move it: a projected vertex is on its projected edge.
+    wide = f"{ROUNDING!r} * greatest(abs(px), abs(py), abs(x1), abs(y1), abs(x2), abs(y2))"
     on_edge = (
-        "(x2 - x1) * (py - y1) = (y2 - y1) * (px - x1)"
-        " and px between least(x1, x2) and greatest(x1, x2) and py between least(y1, y2) and greatest(y1, y2)"
+        f"abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= {wide} * (abs(x2 - x1) + abs(y2 - y1))"
+        f" and px between least(x1, x2) - {wide} and greatest(x1, x2) + {wide} and py between least(y1, y2) - {wide} and greatest(y1, y2) + {wide}"
     )
     return (
-        near.join(_y_slabs(edges, headers, on, polygon), [*on, polygon, "slab"])
+        near.join(y_slabs(edges, headers, on, polygon), [*on, polygon, "slab"])
         .groupBy(*on, point, polygon, "row_no")
         .agg(F.expr(f"count_if({crosses}) % 2 = 1 or bool_or({on_edge}) as held"))
         .filter("held")

@@ -7,10 +7,12 @@ that returns the gradient and Hessian sums; only those few numbers reach the dri
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from zoneloom.session import cut_lineage
 
 # Standard error of a slope, per deviation of its predictor, beyond which the likelihood is flat: no maximum exists.
 MAX_ERROR = 100.0
-# Draws times parameters that are sent to every executor; more are joined by key.
+# Draws times parameters that go to the tasks at once.
 MAX_BROADCAST_NUMBERS = 5_000_000
 
 
@@ -182,36 +184,80 @@ def counterfactual_mean(
     )
 
 
+def _uniform(text: str) -> str:
+    """SQL for a number between 0 and 1 that depends on the text alone."""
+    return f"(cast(conv(substring(md5({text}), 1, 13), 16, 10) as bigint) + 0.5D) / 4503599627370496D"
+
+
+def normal_draws(spark: SparkSession, n_draws: int, width: int, seed: int = 0) -> DataFrame:
+    """``(draw, z0, z1, ...)``: standard normals by Box and Muller, each a function of seed, draw and column alone, so they
+    are the same however the rows are dealt."""
+    named = "concat({0}, draw, {1})".format
+    normals = [
+        f"sqrt(-2 * ln({_uniform(named(repr(f'{seed}:'), repr(f':{j}:r')))})) * cos(2 * pi() * {_uniform(named(repr(f'{seed}:'), repr(f':{j}:t')))}) as z{j}"
+        for j in range(width)
+    ]
+    return spark.range(n_draws).selectExpr("cast(id as int) as draw").selectExpr("draw", *normals)
+
+
 def simulate_draws(df: DataFrame, fit: OrdinalFit, effect: str, values: Sequence[float], n_draws: int = 1000, seed: int = 0) -> DataFrame:
-    """``(draw, effect_value, outcome, prob)``: per draw from the fit's normal approximation, the mean over all rows."""
+    """``(draw, effect_value, outcome, prob)``: per draw from the fit's normal approximation, the mean over all rows.
+
+    Rows are counted per distinct predictors. Each task keeps one sum per draw, effect value and outcome, to which it adds
+    its cells, and hands on one row per draw and effect value: cells and draws are never paired as rows. Draws go to
+    the tasks in blocks of ``MAX_BROADCAST_NUMBERS`` numbers at most.
+    """
     spark = df.sparkSession
     m, k = len(fit.terms), len(fit.levels)
-    root = np.linalg.cholesky(fit.covariance)
-    centre = [*fit.beta, *fit.cuts]
-    # One partition, so that the same seed gives the same draws on any cluster.
-    noise = spark.range(0, n_draws, 1, 1).select(F.col("id").cast("int").alias("draw"), *[F.randn(seed + j).alias(f"z{j}") for j in range(m)])
-    draws = noise.selectExpr("draw", *[
-        f"{_number(centre[i])} + " + " + ".join(f"z{j} * {_number(root[i, j])}" for j in range(i + 1)) + f" as t{i}"
-        for i in range(m)
-    ])
+    root, centre = np.linalg.cholesky(fit.covariance), np.array([*fit.beta, *fit.cuts])
     others = [(i, p) for i, p in enumerate(fit.predictors) if p != effect]
     own = fit.predictors.index(effect)
     rows = df.select(*[F.col(p).cast("double").alias(p) for p in fit.predictors]).dropna("any")
-    cells = rows.groupBy(*[p for _, p in others]).agg(F.count(F.lit(1)).alias("n"))
-    # Each cell is listed once per draw and meets its parameters by key.
-    listed = cells.selectExpr("*", f"explode(sequence(0, {n_draws - 1})) as draw").join(F.broadcast(draws) if n_draws * m <= MAX_BROADCAST_NUMBERS else draws, "draw")
-    rest = " + ".join(f"`{p}` * t{i}" for i, p in others) or "double(0)"
-    scenarios = "array(" + ", ".join(_number(v) for v in values) + ")"
-    argument = listed.selectExpr("*", f"{rest} as rest", f"explode({scenarios}) as effect_value").selectExpr(
-        "*", f"rest + effect_value * t{own} as eta"
-    )
-    cumulative = ["double(0)", *[f"1 / (1 + exp(eta - t{len(fit.predictors) + j}))" for j in range(k - 1)], "double(1)"]
-    probs = argument.selectExpr("draw", "effect_value", "n", *[f"{cumulative[j + 1]} - {cumulative[j]} as p{j}" for j in range(k)])
-    means = probs.groupBy("draw", "effect_value").agg(*[F.expr(f"sum(n * p{j}) / sum(n) as p{j}") for j in range(k)])
+    cells = cut_lineage(rows.groupBy(*[p for _, p in others]).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    block = max(1, MAX_BROADCAST_NUMBERS // m)
+    noise = normal_draws(spark, n_draws, m, seed)
+    ddl = "draw int, effect_value double, n double, " + ", ".join(f"p{j} double" for j in range(k))
+    sums = [
+        cells.mapInArrow(_adder(centre + _matrix(noise.filter(f"draw >= {first} and draw < {first + block}"), m) @ root.T, first, others, own, values, k), ddl)
+        for first in range(0, n_draws, block)
+    ]
+    means = reduce(DataFrame.unionByName, sums).groupBy("draw", "effect_value").agg(*[F.expr(f"sum(p{j}) / sum(n) as p{j}") for j in range(k)])
     labelled = F.array(*[F.struct(F.lit(level).alias("outcome"), F.col(f"p{j}").alias("prob")) for j, level in enumerate(fit.levels)])
     return means.select("draw", "effect_value", F.inline(labelled))
 
 
+def _matrix(noise: DataFrame, width: int) -> np.ndarray:
+    """One block of draws, a row each."""
+    ordered = noise.orderBy("draw").toPandas()
+    return ordered[[f"z{j}" for j in range(width)]].to_numpy(float).reshape(-1, width)
+
+
+def _adder(
+    theta: np.ndarray, first: int, others: Sequence[tuple[int, str]], own: int, values: Sequence[float], k: int,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up the cells' probabilities per draw (a row of ``theta`` each), effect value and outcome."""
+    cuts = theta[:, -(k - 1) :].T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((len(values), k, len(theta))), 0.0
+        for batch in batches:
+            table = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names)}
+            for row in range(batch.num_rows):
+                n, rest = table["n"][row], sum((table[p][row] * theta[:, i] for i, p in others), np.zeros(len(theta)))
+                count += n
+                for v, value in enumerate(values):
+                    below = np.vstack((np.zeros(len(theta)), 1 / (1 + np.exp(rest + value * theta[:, own] - cuts)), np.ones(len(theta))))
+                    total[v] += n * np.diff(below, axis=0)
+        if count:
+            for v, value in enumerate(values):
+                yield pa.RecordBatch.from_pydict({
+                    "draw": pa.array(np.arange(first, first + len(theta), dtype=np.int32)), "effect_value": pa.array(np.full(len(theta), float(value))),
+                    "n": pa.array(np.full(len(theta), count)), **{f"p{j}": pa.array(total[v, j]) for j in range(k)},
+                })
+
+    return run
+
+
 def interval_table(draws: DataFrame, low: float = 0.025, high: float = 0.975, digits: int = 3) -> DataFrame:
     """``(outcome, effect_value, lower, mean, upper, apart)``; ``apart`` says that an outcome's intervals do not overlap.
 

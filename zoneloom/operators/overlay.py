@@ -12,10 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zoneloom.operators.grid import candidate_pairs, cell_of, cells_between, outlines
-
-# Times a strip's width and coordinates: what rounding may leave of it in a sum, a few units in the last place.
-ROUNDING = 8 * 2.0**-52
+from zoneloom.operators.grid import ROUNDING, candidate_pairs, cell_of, cells_between, outlines
 
 
 def _x_slabs(edges: DataFrame, headers: DataFrame, on: Sequence[str], feature: str, side: str) -> DataFrame:

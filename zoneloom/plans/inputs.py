@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zoneloom.functions.projection import albers, project_edges, project_points
 from zoneloom.functions.scalars import to_id, to_number
 from zoneloom.operators.edges import normalize_rings, polygon_edges
 from zoneloom.operators.shape import clean_headers, union_tagged
@@ -87,3 +88,14 @@ def prepare_areas(
     areas = cut_lineage(areas.withColumn("area_id", F.monotonically_increasing_id()))
     edges = polygon_edges(areas, ["city", "area_id"], "polygons")
     return areas.select("city", "area_id", "grade"), normalize_rings(edges, ["city", "area_id"])
+
+
+def prepare_study(
+    zone_edges: DataFrame, area_edges: DataFrame, entities: DataFrame, projection=albers
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges and entities in degrees, projected alike so that areas are square metres and points meet their polygons.
+
+    Source coordinates stay: ``lon1, lat1, lon2, lat2`` of the edges, ``lon, lat`` of the entities.
+    """
+    placed = entities.withColumnsRenamed({"x": "lon", "y": "lat"})
+    return project_edges(zone_edges, projection), project_edges(area_edges, projection), project_points(placed, projection)

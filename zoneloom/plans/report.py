@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zoneloom.operators.ordinal import (
     coefficient_table, counterfactual_mean, fit_ordinal, interval_table, simulate_draws,
 )
 from zoneloom.plans.inputs import GRADES
-from zoneloom.plans.study import MAJORITY, ZoneStudy
+from zoneloom.plans.study import AREA, ENTITY, GRADE, MAJORITY, ON, ZONE, ZoneStudy
 from zoneloom.session import cut_lineage
-from zoneloom.sources.publish import publish
+from zoneloom.sources.publish import publish, read_published
 
 
 def ordinal_report(
@@ -36,6 +37,7 @@ def publish_results(study: ZoneStudy, root: str) -> list[str]:
     """Write the study's result tables below ``root``, each partitioned by city; returns their names."""
     study.write_stages()
     tables = {
+        "fragments": study.fragments_with_majority(), "located": study.located,
         "zone_summary": study.zone_summary(), "map_layer": study.map_layer(), "entities_in_zones": study.located_in_classified(),
         "grade_share": study.grade_share(), "composition": study.compare_composition(), "rate": study.compare_rate(),
     }
@@ -44,3 +46,13 @@ def publish_results(study: ZoneStudy, root: str) -> list[str]:
     for name, table in tables.items():
         publish(table, f"{root}/{name}", "city")
     return list(tables)
+
+
+def published_drill_down(spark: SparkSession, root: str, city: str, zone_id: int) -> DataFrame:
+    """One zone's rows from the published tables: its fragments, its majority, and the entities in each fragment.
+
+    Of either table only the city's folder is read, of it only the zone's rows; nothing is overlaid or located anew.
+    """
+    key = [*ON, ZONE, AREA]
+    fragments, located = (read_published(spark, f"{root}/{n}", "city", city).filter(F.col(ZONE) == zone_id) for n in ("fragments", "located"))
+    return fragments.select(*key, "area", GRADE, MAJORITY).join(located.select(*key, ENTITY), key, "left")

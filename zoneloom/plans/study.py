@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zoneloom.functions.scalars import flag_over, matches_any, ordinal, percent_of, relabel, to_id
+from zoneloom.operators.boundary import dissolve_edges, fragment_edges
 from zoneloom.operators.classify import classify_majority
 from zoneloom.operators.compare import compare_groups, pair_index, sample_rows, sums_by_zone, unpivot_measures
 from zoneloom.operators.grid import outlines
@@ -91,6 +92,17 @@ class ZoneStudy:
     def graded_fragments(self) -> DataFrame:
         return self.fragments.join(self.areas.select(*ON, AREA, GRADE), [*ON, AREA])
 
+    @cached_property
+    def fragment_edges(self) -> DataFrame:
+        """Outlines of the fragments: an edge table keyed by ``city, zone_id, area_id``."""
+        return cut_lineage(fragment_edges(self.zone_edges, self.area_edges, ON, ZONE, AREA))
+
+    @cached_property
+    def grade_edges(self) -> DataFrame:
+        """Outlines of each zone's graded parts, fragments of one grade united: keyed by ``city, zone_id, grade``."""
+        graded = self.areas.filter(F.col(GRADE).isNotNull()).select(*ON, AREA, GRADE)
+        return dissolve_edges(self.fragment_edges.join(graded, [*ON, AREA]), [*ON, ZONE, GRADE], AREA)
+
     @cached_property
     def classified(self) -> DataFrame:
         """``(city, zone_id, grade, area, area_perc, majority_grade)``, only zones that have a majority."""
@@ -98,6 +110,11 @@ class ZoneStudy:
             self.graded_fragments, [*ON, ZONE], GRADE, "area", share="area_perc", winner=MAJORITY
         )
 
+    def fragments_with_majority(self) -> DataFrame:
+        """Every fragment with its grade and its zone's majority, NULL where there is none."""
+        majority = self.classified.select(*ON, ZONE, MAJORITY).distinct()
+        return self.graded_fragments.join(majority, [*ON, ZONE], "left")
+
     def zone_summary(self, city: str | None = None) -> DataFrame:
         """Published table of classified zones, of one city or all."""
         return self.of_city(city).classified.withColumnRenamed(ZONE, "sab_id")
