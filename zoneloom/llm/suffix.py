@@ -88,8 +88,9 @@ def _contexts(parts: list[tuple[int, int, bytes]], length: int, anchor: int) ->
     )
 
 
-# A place packs the start in the text, 16 bits of the text's own hash (they tell texts with one key apart), where the
-# anchor lies in the first window, and the windows of the run less one.
+# A place packs the start in the text, 16 bits of a hash of the text, where the anchor lies in the first window, and the
+# windows of the run less one. A document is its key, ``own`` (another 64-bit hash of its text) and those 16 bits, so
+# texts that share a key stay apart.
 def _pack(start: np.ndarray, text_hash: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
     return start << 30 | text_hash << 14 | at << 7 | (run - 1)
 
@@ -99,7 +100,7 @@ def _text_hash(text: bytes) -> int:
 
 
 def _occurrences(rows: DataFrame, fold: bool) -> DataFrame:
-    """``(anchor, context, k, place)`` per context of the texts; folded, equal contexts of a chunk are one row with
+    """``(anchor, context, k, own, place)`` per context of the texts ``(k, t, own)``; folded, equal contexts of a chunk are one row with
     their count ``n`` and the first of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +109,11 @@ def _occurrences(rows: DataFrame, fold: bool) -> DataFrame:
                 texts = [t.as_py().encode() for t in some.column(1)]
                 keys = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 text, start, size, anchor, at, context = contexts(texts)
-                own = np.array([_text_hash(t) for t in texts], np.int64)
-                k, place = keys[text], _pack(start, own[text], at, size)
-                columns = [anchor, context, k, place]
+                short = np.array([_text_hash(t) for t in texts], np.int64)
+                k, own, place = keys[text], some.column(2).to_numpy()[text], _pack(start, short[text], at, size)
+                columns = [anchor, context, k, own, place]
                 if fold and len(k):
-                    order = np.lexsort((place, k, context, anchor))
+                    order = np.lexsort((place, own, k, context, anchor))
                     columns = [c[order] for c in columns]
                     first = np.flatnonzero(np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))))
                     columns = [c[first] for c in columns] + [np.diff(np.append(first, len(order)))]
@@ -120,7 +121,7 @@ def _occurrences(rows: DataFrame, fold: bool) -> DataFrame:
                     columns.append(np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    names = ["anchor", "context", "k", "place"] + ["n"] * fold
+    names = ["anchor", "context", "k", "own", "place"] + ["n"] * fold
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -210,12 +211,14 @@ MASKS = "anchor bigint, context bigint, low bigint, high bigint"
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(anchor, context, k, place, body)`` ordered by ``part``: one transform per block of whole parts."""
+    """Rows ``(anchor, context, k, own, place, body)`` ordered by ``part``: one transform per block of whole parts."""
     held: list[dict] = []
     size, part = 0, None
 
     def solve() -> pa.RecordBatch:
-        found = repeated_starts([r["body"] for r in held], np.array([r["k"] for r in held]), np.array([r["place"] >> 30 for r in held]))
+        documents = [(r["k"], r["own"], r["place"] >> 14 & 0xFFFF) for r in held]
+        number = {d: i for i, d in enumerate(sorted(set(documents)))}
+        found = repeated_starts([r["body"] for r in held], np.array([number[d] for d in documents]), np.array([r["place"] >> 30 for r in held]))
         masks = [(r["anchor"], r["context"], *_bits(o)) for r, o in zip(held, found) if len(o)]
         return pa.RecordBatch.from_arrays([pa.array([m[i] for m in masks], pa.int64()) for i in range(4)], ["anchor", "context", "low", "high"])
 
@@ -233,27 +236,29 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bodies(needed: DataFrame, rows: DataFrame) -> DataFrame:
     """The bytes of each context, cut from the document that has it first."""
-    per_doc = needed.groupBy("k").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
+    per_doc = needed.groupBy("k", "own").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[dict] = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py().encode()
-                own = _text_hash(text)
-                for w in batch.column(2)[i].as_py():
+                short = _text_hash(text)
+                for w in batch.column(3)[i].as_py():
                     start, run_length = w["place"] >> 30, (w["place"] & 127) + 1
-                    if w["place"] >> 14 & 0xFFFF == own:
-                        found.append(w | {"k": batch.column(0)[i].as_py(), "body": text[start : start + run_length - 1 + LENGTH]})
+                    if w["place"] >> 14 & 0xFFFF == short:
+                        document = {"k": batch.column(0)[i].as_py(), "own": batch.column(2)[i].as_py()}
+                        found.append(w | document | {"body": text[start : start + run_length - 1 + LENGTH]})
             yield pa.RecordBatch.from_pylist(found, schema)
 
-    schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("place", pa.int64()), ("k", pa.int64()), ("body", pa.binary())])
-    return rows.join(per_doc, "k").select("k", "t", "wanted").mapInArrow(run, "anchor bigint, context bigint, place bigint, k bigint, body binary")
+    schema = pa.schema([*[(n, pa.int64()) for n in ("anchor", "context", "place", "k", "own")], ("body", pa.binary())])
+    ddl = "anchor bigint, context bigint, place bigint, k bigint, own bigint, body binary"
+    return rows.join(per_doc, ["k", "own"]).select("k", "t", "own", "wanted").mapInArrow(run, ddl)
 
 
-def _divided(bodies: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds ``part``: the anchor, or for an anchor with very many contexts the anchor with the 40 bytes before or behind
-    it. A common window has 40 bytes on one side at least, so its contexts still meet, and most others part."""
+def _divided(bodies: DataFrame) -> DataFrame:
+    """Adds ``part``, for anchors with very many contexts: the anchor with the 40 bytes before or behind it. A common
+    window has 40 bytes on one side at least, so its contexts still meet, and most others part."""
     side, at = (LENGTH - ANCHOR) // 2, F.expr("cast(place >> 7 & 127 as int)")
 
     def beside(name: str, start: Column, enough: Column) -> Column:
@@ -262,7 +267,56 @@ def _divided(bodies: DataFrame, counts: DataFrame) -> DataFrame:
     divided = F.array_compact(F.array(
         beside("before", at - side + 1, at >= side), beside("behind", at + ANCHOR + 1, F.length("body") - at - ANCHOR >= side),
     ))
-    return bodies.join(counts, "anchor").withColumn("part", F.explode(F.when(F.col("m") <= HOT, F.array("anchor")).otherwise(divided)))
+    return bodies.withColumn("part", F.explode(divided))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the contexts, with 128 bits of hash of its bytes."""
+    for batch in batches:
+        bodies = batch.column("body").to_pylist()
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        counts = sizes - LENGTH + 1
+        row = np.repeat(np.arange(len(bodies)), counts)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        begin = (np.cumsum(sizes) - sizes)[row] + offset
+        values = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64) + np.uint64(1)
+        hashes = [_range_hashes(values, begin, begin + LENGTH, base).view(np.int64) for base in (_ANCHOR_BASE, _CONTEXT_BASE)]
+        places = batch.column("place").to_numpy()
+        kept = {n: batch.column(n).take(pa.array(row)) for n in ("part", "anchor", "context", "k", "own")}
+        at = (places >> 30)[row] + offset
+        yield pa.RecordBatch.from_pydict(kept | {"short": (places >> 14 & 0xFFFF)[row], "at": at, "off": offset, "h1": hashes[0], "h2": hashes[1]})
+
+
+def _folded_masks(parts: DataFrame) -> DataFrame:
+    """Masks of the contexts of parts that no task could hold: windows meet by hash, each hash's first one is found with
+    partial sums, and every other place is a repeat."""
+    names = "part anchor context k own short at off h1 h2".split()
+    windows = cut_lineage(parts.mapInArrow(_windows, ", ".join(f"{n} bigint" for n in names)))
+    first = windows.groupBy("part", "h1", "h2").agg(F.min(F.struct("k", "own", "short", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = windows.join(first, ["part", "h1", "h2"]).filter(F.struct("k", "own", "short", "at") != F.col("first"))
+    bit = lambda of: F.call_function("shiftleft", F.lit(1).cast("bigint"), of.cast("int"))
+    return again.groupBy("anchor", "context").agg(
+        F.bit_or(F.when(F.col("off") < 63, bit(F.col("off"))).otherwise(F.lit(0).cast("bigint"))).alias("low"),
+        F.bit_or(F.when(F.col("off") >= 63, bit(F.col("off") - 63)).otherwise(F.lit(0).cast("bigint"))).alias("high"),
+    )
+
+
+def _masks(several: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(anchor, context, low, high)`` of contexts that share a window with another context of their anchor."""
+    columns = ["part", "anchor", "context", "k", "own", "place", "body"]
+    needed = ["anchor", "context", "k", "own", "place"]
+
+    def resolved(parts: DataFrame) -> DataFrame:
+        return parts.select(*columns).repartition("part").sortWithinPartitions("part", "k", "own", "place").mapInArrow(_resolve, MASKS)
+
+    masks = resolved(_bodies(several.filter(F.col("m") <= HOT).select(*needed), rows).withColumn("part", F.col("anchor")))
+    hot = several.filter(F.col("m") > HOT)
+    if not hot.isEmpty():
+        parts = cut_lineage(_divided(_bodies(hot.select(*needed), rows)).select(*columns))
+        sizes = cut_lineage(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+        small, large = (parts.join(sizes.filter(c), "part", "left_semi") for c in (F.col("n") <= HOT, F.col("n") > HOT))
+        masks = masks.union(resolved(small)).union(_folded_masks(large))
+    return masks.groupBy("anchor", "context").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
 
 
 def _covered(text: bytes, places: list[dict] | None) -> np.ndarray:
@@ -283,27 +337,22 @@ def _covered(text: bytes, places: list[dict] | None) -> np.ndarray:
 
 
 def repeated_places(rows: DataFrame) -> DataFrame:
-    """``(k, place, low, high)``: contexts of the rows ``(k, t)`` whose windows repeat earlier ones; masks where not all do."""
+    """``(k, own, place, low, high)``: contexts of the rows ``(k, t, own)`` whose windows repeat earlier ones; masks where not all do."""
     folded = _occurrences(rows, fold=True)
     # Dealt by anchor once: equal contexts are counted and the contexts of an anchor are told apart in the same tasks.
+    # Of one text they all come from one chunk, the first of them ahead, so the least document has the first place.
     counted = folded.repartition("anchor").groupBy("anchor", "context").agg(
-        F.sum("n").alias("n"), F.min("k").alias("k"), F.min_by("place", "k").alias("place")
-    ).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1 or m > 1")
-    decided = cut_lineage(counted)
-    several = decided.filter("m > 1")
-    bodies = _bodies(several.select("anchor", "context", "k", "place"), rows)
-    parts = _divided(bodies, several.groupBy("anchor").agg(F.max("m").alias("m")))
-    masks = cut_lineage(
-        parts.select("part", "anchor", "context", "k", "place", "body").repartition("part").sortWithinPartitions("part", "k", "place").mapInArrow(_resolve, MASKS)
-        .groupBy("anchor", "context").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
-    )
+        F.sum("n").alias("n"), F.min(F.struct("k", "own", (F.col("place") / F.lit(1 << 14)).cast("bigint").bitwiseAND(0xFFFF).alias("short"), "place")).alias("first")
+    ).select("anchor", "context", "n", "first.k", "first.own", "first.place")
+    decided = cut_lineage(counted.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).filter("n > 1 or m > 1"))
+    masks = cut_lineage(_masks(decided.filter("m > 1"), rows))
     first = decided.join(masks, ["anchor", "context"], "left").filter("n > 1 or low is not null").select(
-        "anchor", "context", F.col("k").alias("k0"), F.col("place").alias("place0"), "low", "high"
+        "anchor", "context", F.col("k").alias("k0"), F.col("own").alias("own0"), F.col("place").alias("place0"), "low", "high"
     )
     every = _occurrences(rows, fold=False).join(first, ["anchor", "context"])
-    is_first = (F.col("k") == F.col("k0")) & (F.col("place") == F.col("place0"))
+    is_first = (F.col("k") == F.col("k0")) & (F.col("own") == F.col("own0")) & (F.col("place") == F.col("place0"))
     return every.filter(~is_first | F.col("low").isNotNull()).select(
-        "k", "place", F.when(is_first, F.col("low")).alias("low"), F.when(is_first, F.col("high")).alias("high")
+        "k", "own", "place", F.when(is_first, F.col("low")).alias("low"), F.when(is_first, F.col("high")).alias("high")
     )
 
 
@@ -312,13 +361,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A byte goes if a string of ``LENGTH`` bytes around it also starts earlier: in a row with a smaller key, or earlier
     in the same. Keys are whole numbers; a null key comes before all others. Rows that repeat key and text are one
-    document, each returned; different texts of one key come in no set order. Null texts count as empty ones.
+    document, each returned; different texts of one key come in the order of hashes of them. Null texts count as empty ones.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    places = cut_lineage(repeated_places(rows).groupBy("k").agg(F.collect_list(F.struct("place", "low", "high")).alias("places")))
+    rows = rows.withColumn("own", F.xxhash64("t"))
+    # As long as one text has contexts, however many texts share its key; rows that repeat key and text give each place twice.
+    places = cut_lineage(repeated_places(rows).groupBy("k", "own").agg(F.collect_set(F.struct("place", "low", "high")).alias("places")))
     # What a task of this stage gets of the places is checked; larger ones are joined by key.
     size = places.agg(F.sum(F.size("places").cast("bigint") * 32 + 48)).first()[0] or 0
-    joined = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, "k", "left")
+    joined = rows.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, ["k", "own"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
