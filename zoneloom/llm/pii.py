@@ -1,13 +1,17 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated thresholds; SQL functions only.
 
-The base rules (pattern and validity check of each kind) always count. Wider patterns propose further spans. Trees are
-fitted on all candidates of the corpus, where those that a base rule confirms are the positive ones: the corpus is
-reduced to counts per combination of features, whose number is bounded, and only those reach the driver.
+The base rules (pattern and validity check of each kind) always count. Wider patterns propose further spans in what the
+base rules leave of a text. Trees learn from features that do not depend on how a span is written (no plus sign, no at
+sign, no separators): base matches are the positive examples, candidates that no reading makes sound (too many digits, a
+failing check sum, octets over 255) the negative ones, and a fixed prior spread over all features stands in where a
+corpus has few. Sound candidates in other forms have no label; they are what the trees decide. The corpus is reduced to
+counts per combination of features, whose number is bounded, and only those reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,12 +19,13 @@ from pyspark.sql import functions as F
 
 from zoneloom.llm.quality import Trees, fit_trees
 from zoneloom.llm.rules import let
+from zoneloom.llm.tables import free_name
 from zoneloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-TREES, DEPTH = 20, 3
-PRECISION = 0.98  # of a kind's candidates above its threshold so many are confirmed
-SUPPORT = 20  # confirmed candidates a kind needs before it proposes anything
+TREES, DEPTH = 40, 4
+PRECISION = 0.95  # of a kind's labelled candidates above its threshold so many are positive
+PRIOR = 200.0  # candidates that the prior counts for, per kind and label
 CONTEXT = 24
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
@@ -33,18 +38,22 @@ BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 
 # Wider forms: written-out signs, ports and hexadecimal groups, other separators, no plus sign.
 WIDE = {
-    "email": rf"[{_LOCAL}]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[{_LABEL}]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[{_LABEL}]++)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{1,5}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){4,7})(?![0-9A-Fa-f:.])",
+    "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[{_LABEL}]++(?:[\x20]?(?:\.|\(dot\)|\[dot\])[\x20]?[{_LABEL}]++)++",
+    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{1,5}|(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7})(?![0-9A-Fa-f:.])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00|\()?[0-9]{1,4}\)?(?:[\x20()./-]{0,2}[0-9]){8,12}(?![0-9])",
+    "phone": r"(?<![0-9+])\(?[0-9]{1,5}\)?(?:[\x20()./-]{0,2}[0-9]){6,14}(?![0-9])",
 }
+DATE = r"^(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9])"
 # What a text has to contain before a pattern is tried.
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.:][0-9A-Fa-f]|:[0-9A-Fa-f]*:", "card": "[0-9]", "phone": "[0-9]"}
 KEYWORDS = {
     "email": "mail|contact|write to|adresse", "ip": "ip|host|server|address|client|login", "card": "card|visa|amex|credit|karte|carte|tarjeta",
     "phone": "tel|phone|call|fax|mobil|ring|whatsapp",
 }
-FEATURES = ("digits", "luhn", "octets", "plus", "brackets", "separators", "at", "letters", "keyword", "before", "after")
+# How many values each feature takes. Digits: too few, as many as the kind has, too many. Groups: one, two
+# to five, more. Sound: whether the kind's check holds of some reading. Keyword: whether one stands before. Before, after:
+# white space or an end, letter or digit, other.
+FEATURES = {"digits": 3, "groups": 3, "sound": 2, "keyword": 2, "before": 3, "after": 3}
 
 
 def _total(values: Column) -> Column:
@@ -117,48 +126,106 @@ def _around(character: Column) -> Column:
     return F.when(F.length(character) == 0, 0).when(character.rlike(r"[\x20\x09-\x0D]"), 0).when(character.rlike("[A-Za-z0-9]"), 1).otherwise(2)
 
 
+def _between(n: Column, low: int, high: int) -> Column:
+    return F.when(n < low, 0).when(n <= high, 1).otherwise(2)
+
+
+def _few(n: Column) -> Column:
+    return F.when(n <= 1, 0).when(n <= 5, 1).otherwise(2)
+
+
+def _groups(match: Column, pattern: str) -> Column:
+    return F.size(F.filter(F.split(match, pattern), lambda g: g != ""))
+
+
+def _sound_address(match: Column) -> Column:
+    """Dotted numbers up to 255, or hexadecimal groups: eight, or fewer with one gap."""
+    hexadecimal = _groups(match, ":")
+    gap = (F.length(match) - F.length(F.replace(match, F.lit("::"), F.lit("")))) / 2
+    groups = ((hexadecimal == 8) & (gap == 0)) | ((hexadecimal < 8) & (hexadecimal >= 2) & (gap == 1))
+    return F.when(F.contains(match, F.lit(".")), _octets(match)).otherwise(groups)
+
+
 def _features(kind: str, m: Column) -> Column:
+    """What the trees see; the same for all ways to write a span."""
     match = m["match"]
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
 
-    def of_digits(d: Column) -> Column:
-        n = F.length(d)
+    def row(digits: Column, groups: Column, sound: Column) -> Column:
         return F.struct(
-            F.when(n < 4, 0).when(n < 10, 1).when(n < 14, 2).when(n < 16, 3).when(n == 16, 4).when(n < 20, 5).otherwise(6).alias("digits"),
-            flag((n > 0) & luhn(F.when(n > 0, d).otherwise("0"))).alias("luhn"), flag(F.lit(kind == "ip") & match.rlike(r"^[0-9.:]+$") & _octets(match)).alias("octets"),
-            flag(F.contains(match, F.lit("+"))).alias("plus"), flag(match.rlike(r"[()\[\]]")).alias("brackets"),
-            F.least(F.lit(4), F.length(F.regexp_replace(match, r"[^\x20._/-]+", ""))).alias("separators"),
-            flag(F.contains(match, F.lit("@"))).alias("at"), flag(match.rlike("[A-Za-z]")).alias("letters"),
-            flag(F.lower(m["before"]).rlike(KEYWORDS[kind])).alias("keyword"),
+            digits.alias("digits"), groups.alias("groups"), F.coalesce(sound, F.lit(False)).cast("int").alias("sound"),
+            F.lower(m["before"]).rlike(KEYWORDS[kind]).cast("int").alias("keyword"),
             _around(F.right(m["before"], F.lit(1))).alias("before"), _around(m["after"]).alias("after"),
         )
 
-    return let(_digits(match), of_digits)
+    if kind == "email":
+        labels = F.split(match, r"@|\(at\)|\[at\]|\.|\(dot\)|\[dot\]")
+        return row(F.lit(1), _few(F.size(labels)), F.trim(F.get(labels, F.size(labels) - 1)).rlike("^[A-Za-z]{2,}[0-9-]*$"))
+    if kind == "ip":
+        return row(F.lit(1), _few(_groups(match, "[.:]")), _sound_address(match))
+    if kind == "card":
+        return let(_digits(match), lambda d: row(_between(F.length(d), 14, 19), _few(_groups(match, "[^0-9]+")), luhn(d)))
+    # Without the sign of a foreign number; one group of digits may be anything, so it is only sound behind a keyword.
+    digits = F.regexp_replace(_digits(match), "^00", "")
+    several = _groups(match, "[^0-9]+")
+    sound = (several.between(2, 5) | F.lower(m["before"]).rlike(KEYWORDS[kind])) & ~match.rlike(DATE)
+    return row(_between(F.length(digits), 10, 15), _few(several), sound & F.length(digits).between(10, 15))
+
 
+def blanked(text: Column, kind: str) -> Column:
+    """The text with the kind's base spans turned into zero characters, as many as they have."""
+    pair = F.struct(F.split(text, BASE[kind]).alias("gaps"), F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0)).alias("found"))
 
-def candidates(text: Column) -> Column:
-    """All proposed spans of all kinds with their features; ``confirmed`` where a base rule finds the same span's place."""
-    empty = F.array().cast(_SPAN_TYPE)
-    return F.concat(*[F.coalesce(_proposed(text, number, kind), empty) for number, kind in enumerate(KINDS)])
+    def rebuilt(parts: Column) -> Column:
+        blank = F.transform(parts["found"], lambda m: F.when(valid(kind, m), F.repeat(F.lit("\0"), F.length(m))).otherwise(m))
+        return let(blank, lambda found: F.array_join(F.transform(parts["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(found, i), F.lit("")))), ""))
 
+    return F.when(text.rlike(NEEDS[kind]), let(pair, rebuilt)).otherwise(text)
 
-def _proposed(text: Column, number: int, kind: str) -> Column:
-    def row(m: Column, good: Column) -> Column:
-        return F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["stop"].alias("stop"), good.alias("confirmed"), _features(kind, m).alias("x"))
 
-    def rows(pair: Column) -> Column:
-        wide = F.filter(pair["wide"], lambda w: ~F.exists(pair["base"], lambda b: (b["start"] == w["start"]) & (b["stop"] == w["stop"])))
-        return F.concat(F.transform(pair["base"], lambda m: row(m, valid(kind, m["match"]))), F.transform(wide, lambda m: row(m, F.lit(False))))
+def add_candidates(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds the proposed spans of all kinds with their features. ``label`` is 1 for spans of the base rules, 0 for those
+    that no reading makes sound, and null for the rest, which the trees decide."""
+    rest, base = free_name(docs, "_rest"), free_name(docs, "_base")
 
-    found = F.struct(matches(text, BASE[kind], NEEDS[kind]).alias("base"), matches(text, WIDE[kind], NEEDS[kind]).alias("wide"))
-    return F.when(text.rlike(NEEDS[kind]), let(found, rows))
+    def every(t: Column, confirmed: bool) -> Column:
+        empty = F.array().cast(_SPAN_TYPE)
+        found = [base_spans(t, kind) if confirmed else matches(t, WIDE[kind], NEEDS[kind]) for kind in KINDS]
+        return F.concat(*[F.coalesce(_spans(f, number, kind, confirmed), empty) for (number, kind), f in zip(enumerate(KINDS), found)])
 
+    step = docs.withColumn(rest, text).withColumn(base, every(F.col(rest), True))
+    for kind in KINDS:
+        step = step.withColumn(rest, F.when(F.size(base) > 0, blanked(F.col(rest), kind)).otherwise(F.col(rest)))
+    return step.withColumn(name, F.concat(F.col(base), every(F.col(rest), False))).drop(rest, base)
 
-_SPAN_TYPE = f"array<struct<start:int,kind:int,stop:int,confirmed:boolean,x:struct<{','.join(f'{f}:int' for f in FEATURES)}>>>"
+
+def _spans(found: Column, number: int, kind: str, base: bool) -> Column:
+    def row(m: Column) -> Column:
+        return let(_features(kind, m), lambda x: F.struct(
+            m["start"].alias("start"), F.lit(number).alias("kind"), m["stop"].alias("stop"),
+            (F.lit(1) if base else F.when((x["sound"] == 0) | (x["digits"] != 1), 0)).alias("label"), x.alias("x"),
+        ))
+
+    return F.transform(found, row)
+
+
+_SPAN_TYPE = f"array<struct<start:int,kind:int,stop:int,label:int,x:struct<{','.join(f'{f}:int' for f in FEATURES)}>>>"
+_PLACE_TYPE = "array<struct<start:int,kind:int,stop:int>>"
+
+
+def prior(kind: str) -> list[tuple[tuple[int, ...], bool]]:
+    """Every combination of features, and whether it speaks for personal data: the right number of digits, a sound
+    reading, and no letter or digit next to it."""
+    names = list(FEATURES)
+    cells = []
+    for values in product(*[range(n) for n in FEATURES.values()]):
+        x = dict(zip(names, values))
+        good = x["digits"] == 1 and x["sound"] == 1 and x["before"] != 1 and x["after"] != 1 and (kind != "phone" or x["groups"] == 1 or x["keyword"] == 1)
+        cells.append((values, good))
+    return cells
 
 
 class SpanModel:
-    """Trees per kind and the least score that a proposed span needs; ``None`` where a kind proposes nothing."""
+    """Trees per kind and the least score that a proposed span needs."""
 
     def __init__(self, trees: dict[int, Trees], least: dict[int, float]):
         self.trees, self.least = trees, least
@@ -178,7 +245,7 @@ def _tree_sum(trees: Trees, x: Column) -> Column:
             return F.lit(float(trees.leaf[t, i - inner]))
         if np.isinf(trees.cut[t, i]):
             return node(t, 2 * i + 1)
-        return F.when(x[FEATURES[int(trees.feature[t, i])]] > float(trees.cut[t, i]), node(t, 2 * i + 2)).otherwise(node(t, 2 * i + 1))
+        return F.when(x[list(FEATURES)[int(trees.feature[t, i])]] > float(trees.cut[t, i]), node(t, 2 * i + 2)).otherwise(node(t, 2 * i + 1))
 
     total = F.lit(float(trees.base))
     for t in range(len(trees.leaf)):
@@ -187,48 +254,45 @@ def _tree_sum(trees: Trees, x: Column) -> Column:
 
 
 def fit_spans(spans: DataFrame, column: str = "spans") -> SpanModel:
-    """Trees and thresholds from every candidate of the corpus, by counts per combination of features.
+    """Trees and thresholds from every labelled candidate of the corpus, by counts per combination of features.
 
-    A kind's threshold is calibrated on the candidates: at its score and at every higher one, ``PRECISION`` of those
-    scored so are confirmed.
+    The prior's combinations count as ``PRIOR`` candidates of either label. A kind's threshold is calibrated on the
+    labelled candidates and the prior: at its score and at every higher one, ``PRECISION`` of those scored so are positive.
     """
+    names = list(FEATURES)
     cells = (
-        spans.select(F.explode(column).alias("s")).groupBy("s.kind", *[F.col(f"s.x.{f}").alias(f) for f in FEATURES])
-        .agg(F.count_if("s.confirmed").alias("yes"), F.count_if(~F.col("s.confirmed")).alias("no")).collect()
+        spans.select(F.explode(column).alias("s")).filter("s.label is not null").groupBy("s.kind", *[F.col(f"s.x.{f}").alias(f) for f in names])
+        .agg(F.count_if(F.col("s.label") == 1).alias("yes"), F.count_if(F.col("s.label") == 0).alias("no")).collect()
     )
     trees, least = {}, {}
-    for kind in range(len(KINDS)):
-        own = sorted((r for r in cells if r["kind"] == kind), key=lambda r: [r[f] for f in FEATURES])
-        x = np.array([[r[f] for f in FEATURES] for r in own], float).reshape(len(own), len(FEATURES))
-        yes, no = (np.array([r[c] for r in own], float) for c in ("yes", "no"))
-        if yes.sum() < SUPPORT:
-            continue
-        model = fit_trees(np.concatenate((x, x)), np.concatenate((np.ones(len(own)), np.zeros(len(own)))), TREES, DEPTH, np.concatenate((yes, no)))
+    for number, kind in enumerate(KINDS):
+        counts = {tuple(r[f] for f in names): (r["yes"], r["no"]) for r in cells if r["kind"] == number}
+        expected = prior(kind)
+        x = np.array([v for v, _ in expected], float)
+        good = np.array([g for _, g in expected])
+        seen = np.array([counts.get(v, (0, 0)) for v, _ in expected], float)
+        yes, no = seen[:, 0] + np.where(good, PRIOR / good.sum(), 0), seen[:, 1] + np.where(good, 0, PRIOR / (~good).sum())
+        model = fit_trees(np.concatenate((x, x)), np.repeat([1.0, 0.0], len(x)), TREES, DEPTH, np.concatenate((yes, no)))
         levels, at = np.unique(np.round(model.raw(x), 9), return_inverse=True)
-        share = np.bincount(at, yes) / np.bincount(at, yes + no)
-        good = np.cumprod(share[::-1] >= PRECISION)[::-1].astype(bool)
-        if good.any():
-            trees[kind], least[kind] = model, float(levels[good].min()) - 1e-6
+        share = np.bincount(at, yes)[::-1].cumsum() / np.bincount(at, yes + no)[::-1].cumsum()
+        enough = np.cumprod(share >= PRECISION).astype(bool)[::-1]
+        trees[number], least[number] = model, float(levels[enough].min()) - 1e-6 if enough.any() else np.inf
     return SpanModel(trees, least)
 
 
-def selected(spans: Column, model: SpanModel) -> Column:
-    """All confirmed spans, and accepted ones that overlap none of them nor an earlier accepted one of the same kind."""
-    chosen = "array<struct<start:int,kind:int,stop:int>>"
-    place = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
-    overlap = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+def _placed(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["stop"].alias("stop"))
 
-    def with_added(base: Column) -> Column:
-        added = F.filter(spans, lambda s: ~s["confirmed"] & ~F.exists(base, lambda b: overlap(s, b)) & model.accepted(s))
-        ordered = F.array_sort(F.transform(added, place))
-        spread = F.aggregate(ordered, F.array().cast(chosen), lambda kept, s: F.when(F.exists(kept, lambda k: overlap(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
-        return F.array_sort(F.concat(base, spread))
 
-    return F.when(F.size(spans) == 0, F.array().cast(chosen)).otherwise(let(F.transform(F.filter(spans, lambda s: s["confirmed"]), place), with_added))
+def selected(spans: Column, model: SpanModel) -> Column:
+    """All spans of the base rules, and the proposed ones that the trees accept. Proposed spans lie beside the base ones;
+    those of different kinds may overlap each other."""
+    chosen = F.filter(spans, lambda s: F.coalesce(s["label"] == 1, F.lit(False)) | (s["label"].isNull() & model.accepted(s)))
+    return F.when(F.size(spans) == 0, F.array().cast(_PLACE_TYPE)).otherwise(F.array_sort(F.transform(chosen, _placed)))
 
 
 def confirmed(spans: Column) -> Column:
-    return F.array_sort(F.transform(F.filter(spans, lambda s: s["confirmed"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
+    return F.array_sort(F.transform(F.filter(spans, lambda s: F.coalesce(s["label"] == 1, F.lit(False))), _placed))
 
 
 def written(spans: Column) -> Column:
@@ -242,36 +306,44 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     Null and empty texts have none; rows are told apart by nothing but their place, so repeated keys do no harm.
     """
-    found = cut_lineage(docs.select(F.col(key).alias("_k"), candidates(F.coalesce(F.col(text), F.lit(""))).alias("spans")))
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    found = cut_lineage(add_candidates(rows, F.col("t"), "spans").drop("t"))
     model = fit_spans(found)
     return found.select(F.col("_k").alias(key), confirmed(F.col("spans")).alias("base"), selected(F.col("spans"), model).alias("spans"))
 
 
+def _most_before(values: Column, block: int = 256) -> Column:
+    """Greatest value before each place (0 before the first), in blocks so that long arrays take no quadratic time."""
+    def in_blocks(vs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(vs) / block).cast("int") - 1)
+        part = lambda b: F.slice(vs, b * block + 1, block)
+        earlier = lambda xs, n: F.coalesce(F.array_max(F.slice(xs, F.lit(1), n)), F.lit(0))
+        starts = let(F.transform(numbers, lambda b: F.array_max(part(b))), lambda tops: F.transform(tops, lambda _, b: earlier(tops, b)))
+        return let(starts, lambda s: F.flatten(F.transform(numbers, lambda b: let(part(b), lambda p: F.transform(p, lambda _, i: F.greatest(s[b], earlier(p, i)))))))
+
+    return let(values, in_blocks)
+
+
 def redacted(text: Column, spans: Column, names: Sequence[str] = KINDS) -> Column:
     """The text with every span, overlapping ones as one, replaced by its kind's name in square brackets."""
     labels = F.array(*[F.lit(f"[{n.upper()}]") for n in names])
-    chosen = "array<struct<start:int,kind:int,stop:int>>"
 
-    def merge(done: Column, s: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
-        return F.when((F.size(done) > 0) & (last["stop"] > s["start"]), joined).otherwise(F.concat(done, F.array(s)))
+    def rebuilt(found: Column) -> Column:
+        def pieces(upto: Column) -> Column:
+            made = F.transform(found, lambda s, i: F.when(s["start"] >= upto[i], F.concat(F.substring(text, upto[i] + 1, s["start"] - upto[i]), labels[s["kind"]])).otherwise(""))
+            return F.concat(F.array_join(made, ""), F.substring(text, F.array_max(F.transform(found, lambda s: s["stop"])) + 1, F.length(text)))
 
-    def rebuilt(merged: Column) -> Column:
-        before = lambda i: F.coalesce(F.get(merged, i - 1)["stop"], F.lit(0))
-        pieces = F.transform(merged, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), labels[s["kind"]]))
-        rest = F.substring(text, F.get(merged, F.size(merged) - 1)["stop"] + 1, F.length(text))
-        return F.concat(F.array_join(pieces, ""), rest)
+        return let(_most_before(F.transform(found, lambda s: s["stop"])), pieces)
 
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(F.aggregate(spans, F.array().cast(chosen), merge), rebuilt))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(spans, rebuilt))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents with personal data replaced in their text, and ``length`` (if a column) counted anew."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    model = fit_spans(docs.select(candidates(whole).alias("spans")))
-    clean = let(candidates(whole), lambda spans: redacted(F.col(text), selected(spans, model)))
-    out = docs.withColumn(text, clean)
+    spans = free_name(docs, "_spans")
+    # Written with their candidates, so that these are searched for once.
+    marked = cut_lineage(add_candidates(docs, F.coalesce(F.col(text), F.lit("")), spans))
+    out = marked.withColumn(text, redacted(F.col(text), selected(F.col(spans), fit_spans(marked, spans))))
     if length in docs.columns:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return out.select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from zoneloom.llm.tables import held
 
 SAMPLE = 20_000  # labelled documents that the trees are fitted on; with more, those of the least hashed ids
-BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 60, 4, 0.15, 5.0, 1.0
+BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 60, 4, 0.15, 1.0, 1.0
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros((256, 7), np.int64)
@@ -132,7 +132,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """Trees fitted on at most ``sample`` labelled documents that are not held out.
 
     Labels that are null or without a document are ignored; a document labelled both ways counts as 0. Only the
-    sample's statistics reach the driver. Without labels every document scores 0.5, with one class its base rate.
+    sample's statistics reach the driver. Without labels every document scores 0.5, with one class nearly 0 or 1.
     """
     chosen = (
         labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
@@ -147,7 +147,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
     taken = rows.select("k", "y", measured("t").alias("x")).orderBy(F.xxhash64("k"), "k", "x").limit(sample).collect()
     x = np.array([r["x"] for r in taken], float).reshape(len(taken), len(STATISTICS))
-    return fit_trees(x, np.array([r["y"] for r in taken], float))
+    y = np.array([r["y"] for r in taken], float)
+    # Both labels weigh the same, so the score does not lean to the more frequent one where there are few labels.
+    share = np.where(y == 1, y.mean(), 1 - y.mean()) if len(y) else y
+    return fit_trees(x, y, weight=0.5 / np.maximum(share, 1e-9))
 
 
 def quality_score(model: Trees) -> Callable[[Column | str], Column]:
