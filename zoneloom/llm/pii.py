@@ -43,6 +43,11 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{1,5}\)?(?:[\x20()./-]{0,2}[0-9]){6,14}(?![0-9])",
 }
+# Forms with set groups, looked for ahead of the wide ones, so that neighbouring numbers do not run together.
+GROUPED = {
+    "card": r"(?<![0-9])[0-9]{4}([\x20._/-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+?1[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+}
 DATE = r"^(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})(?![0-9])"
 # What a text has to contain before a pattern is tried.
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9][.:][0-9A-Fa-f]|:[0-9A-Fa-f]*:", "card": "[0-9]", "phone": "[0-9]"}
@@ -117,11 +122,6 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """The kind's matches that pass its check; those that fail are dropped and not tried again."""
-    return F.filter(matches(text, BASE[kind], NEEDS[kind]), lambda m: valid(kind, m["match"]))
-
-
 def _around(character: Column) -> Column:
     return F.when(F.length(character) == 0, 0).when(character.rlike(r"[\x20\x09-\x0D]"), 0).when(character.rlike("[A-Za-z0-9]"), 1).otherwise(2)
 
@@ -171,9 +171,9 @@ def _features(kind: str, m: Column) -> Column:
     return row(_between(F.length(digits), 10, 15), _few(several), sound & F.length(digits).between(10, 15))
 
 
-def blanked(text: Column, kind: str) -> Column:
-    """The text with the kind's base spans turned into zero characters, as many as they have."""
-    pair = F.struct(F.split(text, BASE[kind]).alias("gaps"), F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0)).alias("found"))
+def blanked(text: Column, kind: str, pattern: str) -> Column:
+    """The text with the pattern's valid matches turned into zero characters, as many as they have."""
+    pair = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     def rebuilt(parts: Column) -> Column:
         blank = F.transform(parts["found"], lambda m: F.when(valid(kind, m), F.repeat(F.lit("\0"), F.length(m))).otherwise(m))
@@ -183,22 +183,28 @@ def blanked(text: Column, kind: str) -> Column:
 
 
 def add_candidates(docs: DataFrame, text: Column, name: str) -> DataFrame:
-    """Adds the proposed spans of all kinds with their features. ``label`` is 1 for spans of the base rules, 0 for those
-    that no reading makes sound, and null for the rest, which the trees decide."""
-    rest, base = free_name(docs, "_rest"), free_name(docs, "_base")
+    """Adds the proposed spans of all kinds with their features: those of the base rules, then the grouped forms in what
+    these leave, then the wide forms in what is left of that. ``label`` is 1 for spans of the base rules, 0 for those that
+    no reading makes sound, and null for the rest, which the trees decide."""
+    rest, base, grouped = (free_name(docs, n) for n in ("_rest", "_base", "_grouped"))
+
+    def every(patterns: dict[str, str], confirmed: bool = False) -> Column:
+        found = [_spans(matches(F.col(rest), patterns[k], NEEDS[k]), n, k, confirmed) for n, k in enumerate(KINDS) if k in patterns]
+        return F.concat(F.array().cast(_SPAN_TYPE), *[F.coalesce(f, F.array().cast(_SPAN_TYPE)) for f in found])
 
-    def every(t: Column, confirmed: bool) -> Column:
-        empty = F.array().cast(_SPAN_TYPE)
-        found = [base_spans(t, kind) if confirmed else matches(t, WIDE[kind], NEEDS[kind]) for kind in KINDS]
-        return F.concat(*[F.coalesce(_spans(f, number, kind, confirmed), empty) for (number, kind), f in zip(enumerate(KINDS), found)])
+    def without(step: DataFrame, patterns: dict[str, str], found: str) -> DataFrame:
+        for kind, pattern in patterns.items():
+            step = step.withColumn(rest, F.when(F.size(found) > 0, blanked(F.col(rest), kind, pattern)).otherwise(F.col(rest)))
+        return step
 
-    step = docs.withColumn(rest, text).withColumn(base, every(F.col(rest), True))
-    for kind in KINDS:
-        step = step.withColumn(rest, F.when(F.size(base) > 0, blanked(F.col(rest), kind)).otherwise(F.col(rest)))
-    return step.withColumn(name, F.concat(F.col(base), every(F.col(rest), False))).drop(rest, base)
+    step = without(docs.withColumn(rest, text).withColumn(base, every(BASE, True)), BASE, base)
+    step = without(step.withColumn(grouped, every(GROUPED)), GROUPED, grouped)
+    return step.withColumn(name, F.concat(base, grouped, every(WIDE))).drop(rest, base, grouped)
 
 
 def _spans(found: Column, number: int, kind: str, base: bool) -> Column:
+    found = F.filter(found, lambda m: valid(kind, m["match"])) if base else found
+
     def row(m: Column) -> Column:
         return let(_features(kind, m), lambda x: F.struct(
             m["start"].alias("start"), F.lit(number).alias("kind"), m["stop"].alias("stop"),
@@ -288,7 +294,7 @@ def selected(spans: Column, model: SpanModel) -> Column:
     """All spans of the base rules, and the proposed ones that the trees accept. Proposed spans lie beside the base ones;
     those of different kinds may overlap each other."""
     chosen = F.filter(spans, lambda s: F.coalesce(s["label"] == 1, F.lit(False)) | (s["label"].isNull() & model.accepted(s)))
-    return F.when(F.size(spans) == 0, F.array().cast(_PLACE_TYPE)).otherwise(F.array_sort(F.transform(chosen, _placed)))
+    return F.when(F.size(spans) == 0, F.array().cast(_PLACE_TYPE)).otherwise(F.array_sort(F.array_distinct(F.transform(chosen, _placed))))
 
 
 def confirmed(spans: Column) -> Column:
