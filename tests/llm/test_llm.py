@@ -415,6 +415,36 @@ def test_pages(spark):
     assert merge(["", ["div", ["p"]]], ["", ["nav"], ["div", ["ul"], ["p"]]]) == ["", ["nav"], ["div", ["ul"], ["p"]]]
 
 
+def test_odd_pages(spark):
+    """A head that is never closed, notices longer than any story, a host of two pages, teasers in articles, names that
+    mislead, marks inside a block, deep and repeated pages, columns that clash, and slots decided without any class name."""
+    cases = [(1, "http://h.x/1", "<html><head><title>t</title><body><p>One story here</p></body>")]
+    notice = "We use cookies and so on and on, a very long notice that is longer than all stories"
+    cases += [(10 + i, f"http://c.x/{i}", f"<body><div>{notice}</div><div><p>Story {i} text</p></div></body>") for i in range(6)]
+    cases += [(20 + i, f"http://d.x/{i}", f"<body><div>Site name</div><div><p>Tale {i} told</p></div><div>Legal line</div></body>") for i in range(2)]
+    cases += [
+        (30, "http://e.x/1", "<body><div><p>A long body text that stands in a div and goes on for a while, really</p></div><article>teaser</article></body>"),
+        (31, "http://f.x/1", "<body><div class='share-of-market'><article><p>The market grew</p></article></div></body>"),
+        (32, "http://g.x/1", "<body><p>Some <span class='ad'>Buy now</span> text <button>Click</button>here</p><div class='CommentList'><p>nice</p></div></body>"),
+        (33, "http://i.x/1", "<body>" + "<div>" * 5000 + "deep text" + "</div>" * 5000 + "</body>"),
+    ]
+    want = {1: "One story here", 30: "A long body text that stands in a div and goes on for a while, really\nteaser", 31: "The market grew", 32: "Some text here", 33: "deep text"}
+    want |= {10 + i: f"Story {i} text" for i in range(6)} | {20 + i: f"Tale {i} told" for i in range(2)}
+    pages = spark.createDataFrame([*cases, cases[0], cases[2]], "page_id bigint, url string, html string").withColumns({c: F.lit("clash") for c in ("k", "u", "h", "host", "tree", "slot", "page", "text")})
+    found = extract(pages).collect()
+    assert {r.page_id: r.text for r in found} == want and len(found) == len(cases) + 2
+    # Brute force over hosts whose pages have no names: what stands at one place of half the host's different pages goes.
+    rng = random.Random(11)
+    made, expected = [], {}
+    for host in range(4):
+        lines = [words(rng, 4) for _ in range(3)]
+        for i in range(rng.randrange(2, 6)):
+            story = [f"{words(rng, 12)} {host} {i} {j}" for j in range(3)]
+            made.append((100 * host + i, f"http://n{host}.x/{i}", f"<body><div>{lines[0]}</div><ul><li>{lines[1]}</li></ul><section>" + "".join(f"<p>{x}</p>" for x in story) + f"</section><div>{lines[2]}</div></body>"))
+            expected[100 * host + i] = "\n".join(" ".join(x.split()) for x in story)
+    assert {r.page_id: r.text for r in extract(spark.createDataFrame(made, "page_id bigint, url string, html string")).collect()} == expected
+
+
 def test_quality_on_held_out_rows(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").collect()}
     scored = queries()["op2_quality"](spark, SF.replace("0.001", "0.01")).collect()

@@ -24,7 +24,9 @@ from xxhash import xxh64_intdigest
 from zoneloom.session import cut_lineage
 
 TEMPLATE_SHARE = 0.5  # of a slot's different pages that repeat a text before it is template
-TEMPLATE_PAGES = 3  # different pages, at least
+TEMPLATE_PAGES, NAMED_PAGES = 2, 3  # different pages, at least; within article or main elements
+NAMED_SHARE = 0.5  # of a page's varying text in article or main elements, from which what is outside them is left out
+DEPTH = 150  # levels of elements that trees tell apart; deeper ones share the slot of the one at this level
 LINK_SHARE = 0.6  # of a slot's characters inside links, from which it is navigation
 FOLD = 400  # trees that one task merges; more of a host are merged in rounds
 BROADCAST_BYTES = 16 << 20  # wrappers that are sent to every task; larger ones are joined by host
@@ -57,6 +59,7 @@ class _Page(HTMLParser):
         self.path: list[str] = []
         self.hidden = 0
         self.links = 0
+        self.muted = 0
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
@@ -64,7 +67,10 @@ class _Page(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((tuple(n for n in self.path if _tag(n) in BLOCKS), text, self.linked))
+            path = [n for n in self.path if _tag(n) in BLOCKS]
+            if len(path) > DEPTH:
+                path[DEPTH - 1 :] = [next((n for n in path[DEPTH - 1 :] if n.endswith("-")), path[DEPTH - 1])]
+            self.blocks.append((tuple(path), text, self.linked))
         self.parts, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
@@ -74,6 +80,7 @@ class _Page(HTMLParser):
                 self._flush()
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
+            self.muted -= node.endswith("-") and tag not in BLOCKS
             self.path.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -85,17 +92,20 @@ class _Page(HTMLParser):
             if above in SCOPES:
                 break
         if tag in BLOCKS:
+            if tag != "html" and "head" in self.path:  # its end may be left out
+                self._pop(self.path.index("head"))
             self._flush()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
         named = dict(attrs)
-        mark = " ".join(filter(None, (named.get("class"), named.get("id")))).lower()
+        mark = re.sub("(?<=[a-z])(?=[A-Z])", "-", " ".join(filter(None, (named.get("class"), named.get("id"))))).lower()
         hint = "-" if tag in BOILERPLATE or (named.get("role") or "").lower() in ROLES or "hidden" in named or MARKS.search(mark) else ""
         self.path.append(f"{tag}.{re.sub('[0-9]+', '', mark)}{hint}" if mark or hint else tag)
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
+        self.muted += bool(hint) and tag not in BLOCKS  # marked parts of a block: the block goes on behind them
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.path) - 1, -1, -1):
@@ -104,7 +114,7 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.muted:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -211,7 +221,7 @@ def _slots(wrapper: str, tree: str) -> dict[tuple[str, ...], str]:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and path: its host, folded tree, the key of each text, of the page's longest text, and the link share."""
+    """Per page and path: its host, folded tree, the key of each text, of all the page's texts, and the link share."""
     names = ["host", "tree", "path", "text", "page", "size", "linked"]
     for batch in batches:
         rows: list[tuple] = []
@@ -220,7 +230,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not blocks:
                 continue
             host, tree = _host(url), json.dumps(tree_of([b[0] for b in blocks]), separators=(",", ":"))
-            page = _text_key(max((b[1] for b in blocks), key=lambda t: (len(t), t)))
+            page = _text_key("\n".join(b[1] for b in blocks))
             rows += [(host, tree, json.dumps(p, separators=(",", ":")), _text_key(t), page, len(t), linked) for p, t, linked in blocks]
         columns = list(zip(*rows)) or [()] * len(names)
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -258,7 +268,7 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(host, wrapper, templates, navigation)``: per host its tree, the ``slot:text`` keys that are template, and the
     slots that hold little but links.
 
-    A text counts once for all pages with the same longest block, so copies of a page do not make a template.
+    A text counts once for all pages with the same texts, so copies of a page do not make a template.
     """
     facts = pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInArrow(
         _facts, "host string, tree string, path string, text bigint, page bigint, size bigint, linked bigint"
@@ -267,10 +277,13 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     wrappers = cut_lineage(induce_wrappers(cut_lineage(seen.select("host", "tree").distinct())))
     places = cut_lineage(_slot_names(seen.select("host", "tree", "path").distinct().join(wrappers, "host")).select("host", "tree", "path", "slot"))
     filled = seen.join(places, ["host", "tree", "path"])
-    per_page = filled.groupBy("host", "slot", "text", "page").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"))
-    per_text = cut_lineage(per_page.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked")))
+    named = F.max(F.col("path").rlike(r'"(article|main)[".]')).alias("named")
+    per_page = filled.groupBy("host", "slot", "text", "page").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"), named)
+    per_text = cut_lineage(per_page.groupBy("host", "slot", "text").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("named").alias("named")
+    ))
     slot_pages = filled.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("all_pages"))
-    often = per_text.filter(F.col("pages") >= TEMPLATE_PAGES).join(slot_pages, ["host", "slot"]).filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages"))
+    often = per_text.filter(F.col("pages") >= F.when(F.col("named"), NAMED_PAGES).otherwise(TEMPLATE_PAGES)).join(slot_pages, ["host", "slot"]).filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages"))
     # A slot has at most 1 / TEMPLATE_SHARE such texts, so these arrays are bounded by the wrapper.
     templates = often.groupBy("host").agg(F.collect_set(F.concat_ws(":", "slot", "text")).alias("templates"))
     slots = per_text.groupBy("host", "slot").agg((F.sum("linked") >= LINK_SHARE * F.sum("size")).alias("navigation"))
@@ -285,15 +298,19 @@ def main_text(html: str | None, wrapper: str | None, templates: frozenset[str],
         return ""
     tree = json.dumps(tree_of([b[0] for b in blocks]), separators=(",", ":"))
     slots = _slots(wrapper, tree) if wrapper else {}
-    content = []
+    varying = []
     for path, text, _ in blocks:
         slot = slots.get(path)
-        varying = slot is None or (slot not in navigation and f"{slot}:{_text_key(text)}" not in templates)
-        if varying and not any(name.endswith("-") for name in path):
-            content.append((path, text))
-    # Where a page names its article or main part, text outside it is not content.
+        if slot is None or (slot not in navigation and f"{slot}:{_text_key(text)}" not in templates):
+            varying.append((path, text))
+    content = [c for c in varying if not any(name.endswith("-") for name in c[0])]
+    if not content:  # names of classes can mislead, so they do not empty a page
+        content = [c for c in varying if not any(_tag(name) in BOILERPLATE for name in c[0])]
+    # Where most of it is in the page's article or main part, text outside that is not content.
     named = [c for c in content if any(_tag(n) in ("article", "main") for n in c[0])]
-    return "\n".join(text for _, text in named or content)
+    if sum(len(t) for _, t in named) >= NAMED_SHARE * sum(len(t) for _, t in content):
+        content = named
+    return "\n".join(text for _, text in content)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
