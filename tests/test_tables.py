@@ -67,6 +67,27 @@ def test_exact_quantiles(spark):
             assert value == pytest.approx(np.quantile(groups[g], p), rel=1e-9, abs=1e-9)
 
 
+def test_quantiles_of_close_values_beside_an_outlier(spark):
+    """No bucket over the bound is ever numbered, however close its values are; null groups and infinities count."""
+    rng = np.random.default_rng(9)
+    close = 1e6 + rng.random(20_000) / 5
+    huge = np.concatenate([rng.normal(0, 1e307, 300), [-1.7e308, 1.7e308]])
+    groups = {
+        "close": np.concatenate([close, [-1e15]]), "tiny": np.arange(1, 500) * 5e-324, None: huge,
+        "ends": np.array([-np.inf, -np.inf, 0.0, 3.0, np.inf, np.inf]), "equal": np.concatenate([np.full(5000, 0.1), [0.1 + 2**-56]]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("close", float("nan"))], "g string, v double")
+    probs = [0.0, 0.025, 0.31, 0.5, 0.975, 1.0]
+    for buckets, bound in ((65_536, 64), (64, 10), (16, 10**9)):
+        got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, ["g"], "v", probs, buckets, bound).collect()}
+        assert got.keys() == {(g, p) for g in groups for p in probs}
+        for (g, p), found in got.items():
+            if g == "ends":
+                assert p not in (0.0, 0.025, 0.975, 1.0) or found == (-np.inf if p < 0.5 else np.inf)
+            else:
+                assert found == pytest.approx(np.quantile(groups[g], p), rel=1e-9, abs=0)
+
+
 def test_projections_keep_area(spark):
     """A densified one-degree cell projects to its area on the ellipsoid, respectively the sphere."""
     n, lon, lat = 400, -90.0, 40.0
