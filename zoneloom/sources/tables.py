@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workbook import scan_sheets
+
 
 def read_text_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """An exported sheet with every column as text: CSV with a header, or Parquet for ``.parquet`` paths.
+    """A sheet with every column as text: CSV with a header, Parquet for ``.parquet`` paths, the first sheet for ``.xlsx`` paths.
 
-    ``columns`` declares the CSV header, which is then checked instead of read beforehand.
+    ``columns`` declares the CSV header, which is then checked instead of read beforehand, or picks columns of a workbook.
     """
+    if path.endswith(".xlsx"):
+        return scan_sheets(spark, path, columns)
     if path.rstrip("/").endswith(".parquet"):
         table = spark.read.parquet(path)
         return table.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) for f in table.schema.fields])
