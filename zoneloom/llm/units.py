@@ -16,15 +16,16 @@ import numpy as np
 UNITS_KEPT = 400_000  # of a worker; beyond so many the units are encoded anew, with the same result
 
 # Every white space that can stand before a space; other texts are cut at their spaces without a search by pattern.
-_ASCII_SPACES = [c + " " for c in map(chr, range(128)) if c.isspace()]
-_OTHER_SPACES = re.compile(r"[\x80-\U0010ffff] ")
+_SPACES = [c for c in map(chr, range(0x110000)) if c.isspace()]
+_ASCII_SPACES = [(c, c + " ") for c in _SPACES if c.isascii()]
+_OTHER_SPACES = re.compile("[" + "".join(c for c in _SPACES if not c.isascii()) + "] ")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def cut(text: str) -> list[Hashable]:
     """The text's units: a one-tuple for the first, then each without the one space it starts with."""
-    if text[:1] != " " and not any(s in text for s in _ASCII_SPACES) and (
-        text.isascii() or not any(m[0][0].isspace() for m in _OTHER_SPACES.finditer(text))
+    if text[:1] != " " and not any(c in text and pair in text for c, pair in _ASCII_SPACES) and (
+        text.isascii() or not _OTHER_SPACES.search(text)
     ):
         parts: list[Hashable] = text.split(" ")  # type: ignore[assignment]
     else:
@@ -66,7 +67,8 @@ class UnitEncoder:
         numbers = np.fromiter(map(self._numbers.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(numbers < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(units[i] for i in missing))
+            absent = [units[i] for i in missing]
+            new = list(dict.fromkeys(absent))
             gc.disable()  # hundreds of thousands of short lists, none of them in a cycle
             try:
                 ids, sizes = self._encode_new(new)
@@ -77,7 +79,7 @@ class UnitEncoder:
             self._ids = np.concatenate((self._ids, ids.astype(self._dtype)))
             self._starts = np.concatenate((self._starts, starts))
             self._sizes = np.concatenate((self._sizes, sizes))
-            numbers[missing] = [self._numbers[units[i]] for i in missing]
+            numbers[missing] = np.fromiter(map(self._numbers.get, absent), np.int64, len(absent))
         sizes = self._sizes[numbers]
         return gather(self._ids, self._starts[numbers], sizes), sizes
 
