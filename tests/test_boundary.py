@@ -7,7 +7,7 @@ import shapes
 from pyspark.sql import functions as F
 
 from zoneloom.functions import projection
-from zoneloom.operators import edges as E
+from zoneloom.operators import boundary, edges as E
 from zoneloom.operators.boundary import dissolve_edges, fragment_edges, repair_edges
 from zoneloom.operators.locate import points_in_polygons
 from zoneloom.operators.overlay import overlay_area
@@ -90,6 +90,38 @@ def test_repaired_rings_hold_what_an_odd_number_of_rings_holds(spark):
     assert area[100] == 2 and area[101] == 15 and 102 not in area and all(a > 0 for a in area.values())
 
 
+def test_small_groups_are_read_once(spark, monkeypatch):
+    """Edges meet in one join, parts are not listed again to count what is distinct, and rings take no rounds of rewriting."""
+    written, cut = [], boundary.cut_lineage
+    monkeypatch.setattr(boundary, "cut_lineage", lambda df: written.append(df) or cut(df))
+    rows = [("c", 4 * g + i, [[shapes.box(3 * g + i, 0, 3 * g + i + 1, 1)]]) for g in range(20) for i in range(2)]
+    parts = shapes.edges(spark, rows, "plot").withColumn("g", F.expr("plot div 4"))
+    found = dissolve_edges(parts, ["city", "g"], "plot")
+    assert found.count() == 20 * 6
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in written]
+    cutting = [plan for plan in plans if "lead(" in plan]
+    assert [plan.count("Join Inner") for plan in cutting] == [1] and "Expand" not in cutting[0]
+    assert sum(df.count() for df in written) <= 3 * 20 * 8
+
+
+def test_small_and_large_groups_alike(spark, monkeypatch):
+    """Groups linked within a row and groups linked by joins give the same rings, also together."""
+    rng = random.Random(11)
+    rows = [(c, i, [[star(rng, 6, 2, 5 + 4 * (c == "d"))]]) for c in "cd" for i in range(7)]
+    rows += [("d", 60, [[shapes.box(0, 0, 3, 3), shapes.box(1, 1, 2, 2)]]), ("d", 61, [[shapes.box(3, 0, 5, 3)]]), ("c", 62, [[shapes.box(0, 0, 1, 1)]]), ("c", 63, [[shapes.box(1, 1, 2, 2)]])]
+    polygons = shapes.edges(spark, rows, "plot")
+    zones = polygons.filter("plot % 2 = 0").withColumnRenamed("plot", "zone")
+
+    def outlines():
+        found = (dissolve_edges(polygons, ["city"], "plot"), repair_edges(polygons, ["city"]), fragment_edges(zones, polygons, ["city"], "zone", "plot"))
+        return [sorted(map(tuple, table.drop("ring_no").collect())) for table in found]
+
+    want = outlines()
+    assert all(want)
+    monkeypatch.setattr(boundary, "SMALL", 12)
+    assert outlines() == want
+
+
 def test_no_polygons(spark):
     none = shapes.edges(spark, [("c", 1, [[shapes.box(0, 0, 1, 1)]])], "zone").filter("false")
     other = none.withColumnRenamed("zone", "plot")

@@ -1,8 +1,9 @@
 """Boundaries of shared, united and repaired polygons.
 
 Edges are split wherever they meet, the parts that bound the result are kept, and rings are linked anew: every part finds
-the one that follows it by a join on the common vertex, and pointer jumping finds its ring and its place in it in as many
-rounds as the longest ring has binary digits. Edges have the polygon's inside on their right, as normalised rings do.
+the one that follows it by the common vertex, and pointer jumping finds its ring and its place in it in as many
+rounds as the longest ring has binary digits. Small groups take these steps within a row, larger ones by joins. Edges have
+the polygon's inside on their right, as normalised rings do.
 """
 
 from __future__ import annotations
@@ -18,16 +19,45 @@ from zoneloom.session import cut_lineage
 
 XY = ["x1", "y1", "x2", "y2"]
 FORWARD = "x1 < x2 or x1 = x2 and y1 < y2"
+SMALL = 128  # edges of a group that are compared with each other and linked within a row; larger groups use grid and joins
 MAX_ROUNDS = 64  # of pointer jumping: a ring would need more than 2**64 edges to take as many
 
 
-def _edge_boxes(edges: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """Edges as boxes for the candidate search, wider by what rounding may move them."""
-    size = "greatest(abs(x1), abs(y1), abs(x2), abs(y2))"
-    return edges.selectExpr(*keys, "e", *carried, *XY, f"{size} as size").selectExpr(
-        "*", f"least(x1, x2) - size * {ROUNDING!r} as xmin", f"least(y1, y2) - size * {ROUNDING!r} as ymin",
-        f"greatest(x1, x2) + size * {ROUNDING!r} as xmax", f"greatest(y1, y2) + size * {ROUNDING!r} as ymax",
-    ).selectExpr("*", f"{size_level('greatest(xmax - xmin, ymax - ymin)')} as level")
+def _large_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with more than ``SMALL`` rows."""
+    return cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(f"n > {SMALL}").select(*keys))
+
+
+def _box(ends: str) -> list[str]:
+    """SQL for the size and the box of an edge, wider by what rounding may move it; ``ends`` formats a column's name."""
+    x1, y1, x2, y2 = map(ends.format, XY)
+    size = f"greatest(abs({x1}), abs({y1}), abs({x2}), abs({y2}))"
+    corners = (("xmin", "least", x1, x2, "-"), ("ymin", "least", y1, y2, "-"), ("xmax", "greatest", x1, x2, "+"), ("ymax", "greatest", y1, y2, "+"))
+    named = [(size, "size"), *((f"{f}({a}, {b}) {sign} {size} * {ROUNDING!r}", name) for name, f, a, b, sign in corners)]
+    return [f"{value} as {ends.format(name)}" for value, name in named]
+
+
+def _met_pairs(left: DataFrame, right: DataFrame, edges: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """Pairs of edges of a group whose boxes overlap; both sides as ``l_*`` and ``r_*``.
+
+    In groups of at most ``SMALL`` edges all edges meet by their group alone, which lists every edge once. Larger groups are
+    searched on the grid.
+    """
+    large = _large_groups(edges, keys)
+    columns = ["e", *carried, *XY]
+    sides = [
+        side.join(large, keys, "left_anti").select(*keys, *[F.col(c).alias(f"{a}_{c}") for c in columns]) for a, side in (("l", left), ("r", right))
+    ]
+    overlap = " and ".join(f"l_{a}min < r_{a}max and r_{a}min < l_{a}max" for a in "xy")
+    pairs = sides[0].join(sides[1], list(keys)).selectExpr("*", *_box("l_{0}"), *_box("r_{0}")).filter(overlap)
+    if large.isEmpty():
+        return pairs
+    l_boxes, r_boxes = (
+        side.join(large, keys, "left_semi").selectExpr("*", *_box("{0}")).selectExpr("*", f"{size_level('greatest(xmax - xmin, ymax - ymin)')} as level")
+        for side in (left, right)
+    )
+    searched = candidate_pairs(l_boxes, r_boxes, keys, "e", "e", [*carried, "size", *XY])
+    return pairs.unionByName(searched.select(*pairs.columns))
 
 
 def _turned(edge: str, point: tuple[str, int]) -> str:
@@ -61,27 +91,44 @@ def _meeting_points(pairs: DataFrame, keys: Sequence[str], carried: Sequence[str
             x, y = f"{b}_x{n}", f"{b}_y{n}"
             inside = f"{x} between {a}_xmin and {a}_xmax and {y} between {a}_ymin and {a}_ymax"
             own.append(f"if({b}{n} = 0 and {inside}, named_struct('x', {x}, 'y', {y}), null)")
-        sides.append(placed.selectExpr(
-            *keys, f"{a}_e as e", *[f"{a}_{c} as {c}" for c in (*carried, *XY)], f"explode(filter(array({', '.join(own)}), p -> p is not null)) as p"
-        ))
-    return sides[0].unionByName(sides[1]).selectExpr(*keys, "e", *carried, *XY, "p.x as px", "p.y as py")
+        edge = ", ".join(f"'{c}', {a}_{c}" for c in ("e", *carried, *XY))
+        sides.append(f"transform(filter(array({', '.join(own)}), p -> p is not null), p -> named_struct({edge}, 'px', p.x, 'py', p.y))")
+    # One pass for both edges: as a union the search would run twice.
+    return placed.selectExpr(*keys, f"inline(concat({', '.join(sides)}))")
 
 
 def _parts(edges: DataFrame, points: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """Edges cut at their points: ``(keys, carried, x1 .. y2)`` of each part, in the edge's direction."""
+    """Edges cut at their points: ``(keys, carried, x1 .. y2)`` of each part, in the edge's direction.
+
+    A part starts at the edge's start or at a point; the last one ends where the edge does. Points that come twice make
+    parts without length, which go.
+    """
     columns = [*keys, "e", *carried, *XY]
     inner = points.selectExpr(*columns, "px", "py", "(px - x1) * (x2 - x1) + (py - y1) * (y2 - y1) as t").filter(
         "t > 0 and t < (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)"
-    ).distinct()
-    ends = edges.selectExpr(
-        *columns, "inline(array(named_struct('px', x1, 'py', y1, 't', double(0)),"
-        " named_struct('px', x2, 'py', y2, 't', (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"
     )
+    starts = edges.selectExpr(*columns, "x1 as px", "y1 as py", "double(0) as t").filter("x1 + y1 + x2 + y2 is not null")
     along = Window.partitionBy(*keys, "e").orderBy("t", "px", "py")
-    cut = inner.unionByName(ends).select(
-        *keys, *carried, F.col("px").alias("x1"), F.col("py").alias("y1"), F.lead("px").over(along).alias("x2"), F.lead("py").over(along).alias("y2"),
+    cut = inner.unionByName(starts).select(
+        *keys, *carried, F.col("px").alias("x1"), F.col("py").alias("y1"),
+        F.coalesce(F.lead("px").over(along), "x2").alias("x2"), F.coalesce(F.lead("py").over(along), "y2").alias("y2"),
     )
-    return cut.filter("x2 is not null and (x1 <> x2 or y1 <> y2)")
+    return cut.filter("x1 <> x2 or y1 <> y2")
+
+
+def _together(parts: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
+    """``(keys, x1 .. y2, one_way, <least and greatest of carried>)``: equal parts as one, forward if one of them is.
+
+    Least and greatest tell whether all are alike, in one grouping; counts of distinct values would list every part again.
+    """
+    ends = ["xa", "ya", "xb", "yb"]
+    grouped = parts.selectExpr(
+        *keys, *carried, f"{FORWARD} as forward", "least(x1, x2) as xa", f"if({FORWARD}, y1, y2) as ya", "greatest(x1, x2) as xb", f"if({FORWARD}, y2, y1) as yb",
+    ).groupBy(*keys, *ends).agg(
+        F.min("forward").alias("all_forward"), F.max("forward").alias("forward"), *[F.expr(f"{f}({c}) as {f}_{c}") for c in carried for f in ("min", "max")],
+    )
+    turned = [f"if(forward, {a}, {b}) as {c}" for a, b, c in zip(ends, ["xb", "yb", "xa", "ya"], XY)]
+    return grouped.selectExpr(*keys, *turned, "all_forward = forward as one_way", *[f"{f}_{c}" for c in carried for f in ("min", "max")])
 
 
 def _middles(parts: DataFrame) -> DataFrame:
@@ -113,9 +160,44 @@ def link_rings(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, ring_no, hole, edge_no, x1 .. y2)``: directed parts that close up, linked to rings.
 
     Where several parts leave a vertex the one furthest to the right follows, so rings touch but do not cross. A ring
-    starts at its least vertex; rings that run counter-clockwise are holes.
+    starts at its least vertex; rings that run counter-clockwise are holes. Groups of at most ``SMALL`` parts are linked
+    in one row each, larger ones by joins.
     """
-    rows = cut_lineage(parts.select(*keys, *XY).withColumn("e", F.monotonically_increasing_id()))
+    rows = cut_lineage(parts.select(*keys, *XY).dropna(subset=list(keys)))
+    large = _large_groups(rows, keys)
+    linked = _link_small(rows.join(large, keys, "left_anti"), keys)
+    return linked if large.isEmpty() else linked.unionByName(_link_large(rows.join(large, keys, "left_semi"), keys))
+
+
+def _link_small(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``link_rings`` within rows that hold a group's parts; the same steps as for large groups, on places in an array."""
+    ix, iy = "(p.x2 - p.x1)", "(p.y2 - p.y1)"
+    ox, oy = "(q.x2 - q.x1)", "(q.y2 - q.y1)"
+    turn = f"atan2({ix} * {oy} - {iy} * {ox}, {ix} * {ox} + {iy} * {oy})"
+    leaving = "filter(transform(parts, (q, j) -> named_struct('x1', q.x1, 'y1', q.y1, 'x2', q.x2, 'y2', q.y2, 'j', j)), q -> q.x1 = p.x2 and q.y1 = p.y2)"
+    following = f"array_min(transform({leaving}, q -> named_struct('turn', if({turn} <= -pi(), pi(), {turn}), 'ptr', q.j))).ptr"
+    # m: place of the least start within the next 2**k parts, as parts are in the order of their starts; off: parts from here to it.
+    first = f"transform(parts, (p, i) -> named_struct('ptr', {following}, 'm', i, 'off', bigint(0)))"
+    ahead = "get(st, s.ptr)"
+    step = (
+        f"transform(st, s -> if({ahead}.m < s.m, named_struct('ptr', {ahead}.ptr, 'm', {ahead}.m, 'off', shiftleft(bigint(1), k) + {ahead}.off),"
+        f" named_struct('ptr', {ahead}.ptr, 'm', s.m, 'off', s.off)))"
+    )
+    state = f"aggregate(sequence(0, cast(ceil(log2(size(parts))) as int)), first, (st, k) -> {step})"
+    placed = (
+        parts.groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({', '.join(XY)}))) as parts"))
+        .selectExpr("*", f"{first} as first").selectExpr(*keys, "parts", f"{state} as state")
+        .selectExpr(*keys, "filter(transform(parts, (p, i) -> named_struct('p', p, 'ptr', state[i].ptr, 'm', state[i].m, 'off', state[i].off)), r -> r.ptr is not null) as state")
+    )
+    size = "size(filter(state, t -> t.m = s.m))"
+    under = "aggregate(filter(state, t -> t.m = s.m), double(0), (a, t) -> a + (t.p.x2 - t.p.x1) * (t.p.y1 + t.p.y2) / 2)"
+    ring = f"named_struct('ring_no', bigint(s.m), 'hole', {under} < 0, 'edge_no', ({size} - s.off) % {size} + 1, {', '.join(f"'{c}', s.p.{c}" for c in XY)})"
+    return placed.selectExpr(*keys, f"inline(transform(state, s -> {ring}))")
+
+
+def _link_large(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``link_rings`` by a join on vertices and pointer jumping; no group is gathered."""
+    rows = cut_lineage(parts.withColumn("e", F.monotonically_increasing_id()))
     leaving = rows.select(*keys, F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.expr("x2 - x1 as ox"), F.expr("y2 - y1 as oy"), F.col("e").alias("ptr"))
     ix, iy = "(x2 - x1)", "(y2 - y1)"
     turn = f"atan2({ix} * oy - {iy} * ox, {ix} * ox + {iy} * oy)"
@@ -174,16 +256,10 @@ def fragment_edges(left: DataFrame, right: DataFrame, on: Sequence[str], left_id
         _of_pairs(pairs, left, on, left_id, "l_key", "l_x_level", 0)
         .unionByName(_of_pairs(pairs, right, on, right_id, "r_key", "r_x_level", 1)).withColumn("e", F.monotonically_increasing_id())
     )
-    boxes = _edge_boxes(edges, keys, ["side"])
-    met = candidate_pairs(boxes.filter("side = 0"), boxes.filter("side = 1"), keys, "e", "e", ["side", "size", *XY])
-    parts = cut_lineage(_parts(edges, _meeting_points(met, keys, ["side"]), keys, ["side"]))
-    together = parts.selectExpr(
-        *keys, "side", *XY, f"{FORWARD} as forward", "least(x1, x2) as xa", f"if({FORWARD}, y1, y2) as ya", "greatest(x1, x2) as xb", f"if({FORWARD}, y2, y1) as yb",
-    ).groupBy(*keys, "xa", "ya", "xb", "yb").agg(
-        F.countDistinct("side").alias("sides"), F.countDistinct("forward").alias("ways"), F.min("side").alias("side"), F.min(F.struct(*XY)).alias("_part"),
-    )
-    shared = together.filter("sides = 2 and ways = 1").select(*keys, "_part.*")
-    alone = _middles(cut_lineage(together.filter("sides = 1").select(*keys, "side", "_part.*")))
+    met = _met_pairs(edges.filter("side = 0"), edges.filter("side = 1"), edges, keys, ["side"])
+    together = cut_lineage(_together(_parts(edges, _meeting_points(met, keys, ["side"]), keys, ["side"]), keys, ["side"]))
+    shared = together.filter("min_side <> max_side and one_way").select(*keys, *XY)
+    alone = _middles(together.filter("min_side = max_side").select(*keys, F.col("min_side").alias("side"), *XY))
     columns = [*keys, *XY]
     inside = shared
     for side, edge_table, head, feature, key in ((0, right, r_head, right_id, "r_key"), (1, left, l_head, left_id, "l_key")):
@@ -202,13 +278,9 @@ def dissolve_edges(edges: DataFrame, group: Sequence[str], feature: str) -> Data
     """
     keys = list(group)
     rows = cut_lineage(edges.select(*keys, F.col(feature).alias("f"), *XY).withColumn("e", F.monotonically_increasing_id()))
-    boxes = _edge_boxes(rows, keys, ["f"])
-    met = candidate_pairs(boxes, boxes, keys, "e", "e", ["f", "size", *XY]).filter("l_f < r_f")
-    parts = _parts(rows, _meeting_points(met, keys, ["f"]), keys, ["f"])
-    together = parts.selectExpr(
-        *keys, "f", *XY, f"{FORWARD} as forward", "least(x1, x2) as xa", f"if({FORWARD}, y1, y2) as ya", "greatest(x1, x2) as xb", f"if({FORWARD}, y2, y1) as yb",
-    ).groupBy(*keys, "xa", "ya", "xb", "yb").agg(F.countDistinct("forward").alias("ways"), F.min(F.struct(*XY)).alias("_part"))
-    outer = _middles(cut_lineage(together.filter("ways = 1").select(*keys, "_part.*")))
+    met = _met_pairs(rows, rows, rows, keys, ["f"]).filter("l_f < r_f")
+    together = _together(_parts(rows, _meeting_points(met, keys, ["f"]), keys, ["f"]), keys, [])
+    outer = _middles(cut_lineage(together.filter("one_way").select(*keys, *XY)))
     columns = [*keys, *XY]
     polygons = edges.withColumnRenamed(feature, "f")
     heads = cut_lineage(outlines(polygons, keys, "f"))
@@ -225,8 +297,7 @@ def repair_edges(edges: DataFrame, ids: Sequence[str]) -> DataFrame:
     """
     keys = list(ids)
     rows = cut_lineage(edges.select(*keys, *XY).filter("x1 <> x2 or y1 <> y2").withColumn("e", F.monotonically_increasing_id()))
-    boxes = _edge_boxes(rows, keys, [])
-    met = candidate_pairs(boxes, boxes, keys, "e", "e", ["size", *XY]).filter("l_e < r_e")
+    met = _met_pairs(rows, rows, rows, keys, []).filter("l_e < r_e")
     parts = cut_lineage(
         _parts(rows, _meeting_points(met, keys, []), keys, [])
         .selectExpr(*keys, "least(x1, x2) as x1", f"if({FORWARD}, y1, y2) as y1", "greatest(x1, x2) as x2", f"if({FORWARD}, y2, y1) as y2")

@@ -75,7 +75,8 @@ def candidate_pairs(
     columns = ["xmin", "ymin", "xmax", "ymax", *carried]
 
     def entries(own_role: int, other_role: int, wanted: str) -> str:
-        own = f"array(named_struct('role', {own_role}, 'cell_level', level))"
+        # The own level only where the other layer has boxes that come there.
+        own = f"filter(array(named_struct('role', {own_role}, 'cell_level', level)), o -> exists(other_levels, v -> not v {wanted} level))"
         coarser = f"filter(other_levels, v -> v {wanted} level)"
         return f"concat({own}, transform({coarser}, v -> named_struct('role', {other_role}, 'cell_level', v)))"
 
